@@ -1,8 +1,8 @@
 """Exact dedup with a log-structured merge index of text digests.
 
-Memtables (a dictionary per task) flush sorted runs, each with a Bloom filter; compaction merges the runs and keeps the
-extreme identifier of each digest; rows whose digest the filter of repeated digests may hold are looked up, and every hit
-is verified byte by byte against the text of the row that stays.
+Memtables (a dictionary per task) flush sorted runs with Bloom filters; compaction merges the runs and keeps the extreme
+identifier of each digest; rows whose digest the filter of repeated digests may hold are looked up, and every hit is
+verified byte by byte against the text of the row that stays.
 """
 
 from __future__ import annotations
@@ -11,57 +11,26 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessitura.llm import bloom
 from tessitura.llm.common import store, table
 
-FILTER_HASHES = 4
-CHUNK_BYTES = 1 << 16
-
-
-def _bits(digests: list[bytes], n_bits: int) -> np.ndarray:
-    """Places of a digest in a filter: FILTER_HASHES words of the digest itself."""
-    words = np.frombuffer(b"".join(d[:32].ljust(32, b"\0") for d in digests), dtype="<u8").reshape(-1, 4)
-    h = words[:, :1] + words[:, 1:2] * np.arange(1, FILTER_HASHES + 1, dtype=np.uint64)
-    return ((h ^ (h >> np.uint64(31))) % np.uint64(n_bits)).astype(np.int64)
-
-
-class Filter:
-    """A Bloom filter of a fixed number of bits; more digests make it less selective, never wrong."""
-
-    def __init__(self, n_bits: int, raw: bytes | None = None):
-        self.n_bits = n_bits
-        self.raw = np.frombuffer(raw, dtype=np.uint8).copy() if raw else np.zeros(n_bits // 8, dtype=np.uint8)
-
-    def add(self, digests: list[bytes]) -> Filter:
-        if digests:
-            at = _bits(digests, self.n_bits).ravel()
-            np.bitwise_or.at(self.raw, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return self
-
-    def may_hold(self, digests: list[bytes]) -> np.ndarray:
-        if not digests:
-            return np.zeros(0, dtype=bool)
-        at = _bits(digests, self.n_bits)
-        return ((self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
 class DigestLog:
     """The index: runs in tables of the shared folder. Digests are binary; identifiers are longs, null last in any order.
 
     add(): a table (digest, id) through memtables into a new level-0 table of sorted runs. compact(): all tables into one.
-    lookup(): what the index has of other digests. keep: "min" or "max", the identifier that stays.
+    lookup(): what the index has of other rows' digests. keep: "min" or "max", the identifier that stays.
     """
 
-    def __init__(self, spark: SparkSession, keep: str = "min", memtable_rows: int = 200_000, filter_bits: int = 1 << 23):
+    def __init__(self, spark: SparkSession, keep: str = "min", memtable_rows: int = 200_000):
         if keep not in ("min", "max"):
             raise ValueError(f"keep is min or max, not {keep!r}")
-        self.spark, self.keep, self.memtable_rows, self.filter_bits = spark, keep, memtable_rows, filter_bits
+        self.spark, self.keep, self.memtable_rows = spark, keep, memtable_rows
         self.runs: list[DataFrame] = []
-        self.filters: list[bytes | None] = []
+        self.filters: list[np.ndarray | None] = []
 
     def add(self, rows: DataFrame) -> None:
         """Flush rows (digest, id) as sorted runs: digest, keep_id, n; a filter of the whole table beside them."""
@@ -92,44 +61,27 @@ class DigestLog:
         self.filters.append(None)
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one, sorted within its files; of each digest the extreme identifier and the sum of rows."""
-        if len(self.runs) != 1 or self.filters[0] is None:
+        """Merge all runs into one, sorted within its files: of each digest the extreme identifier and the sum of rows."""
+        if len(self.runs) > 1 or self.filters[:1] == [None]:
             both = reduce(DataFrame.unionByName, self.runs)
             best = (F.max if self.keep == "max" else F.min)("keep_id").alias("keep_id")
-            merged = store(both.groupBy("digest").agg(best, F.sum("n").alias("n")).sortWithinPartitions("digest"), "level")
-            self.runs, self.filters = [merged], [self.filter_of(merged.filter("n > 1"))]
+            self.runs = [store(both.groupBy("digest").agg(best, F.sum("n").alias("n")).sortWithinPartitions("digest"), "level")]
+            self.filters = [None]
         return self.runs[0]
 
-    def filter_of(self, rows: DataFrame) -> bytes:
-        """One filter of the rows' digests, of filter_bits bits: tasks fill their own, equal chunks are joined by OR before they reach the driver."""
-        n_bits = self.filter_bits
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = Filter(n_bits)
-            for b in batches:
-                f.add(b.column(0).to_pylist())
-            chunks = [(i, c) for i in range(0, len(f.raw), CHUNK_BYTES) if (c := f.raw[i : i + CHUNK_BYTES]).any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks], pa.int64()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], ["at", "bits"])
-
-        def either(rows: pd.DataFrame) -> pd.DataFrame:
-            bits = reduce(np.bitwise_or, (np.frombuffer(x, dtype=np.uint8) for x in rows["bits"]))
-            return pd.DataFrame({"at": rows["at"][:1], "bits": [bits.tobytes()]})
-
-        parts = rows.select("digest").mapInArrow(fill, "at long, bits binary").groupBy("at").applyInPandas(either, "at long, bits binary")
-        whole = np.zeros(n_bits // 8, dtype=np.uint8)
-        for r in parts.toLocalIterator():
-            whole[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(r["bits"], dtype=np.uint8)
-        return whole.tobytes()
-
-    def repeated(self, digest: Column) -> Column:
-        """Whether the compacted index may hold the digest more than once; false is certain."""
-        raw, n_bits = self.spark.sparkContext.broadcast(self.filters[0]), self.filter_bits  # n_bits / 8 bytes, whatever the data
-
-        @F.pandas_udf("boolean")
-        def probe(d: pd.Series) -> pd.Series:
-            return pd.Series(Filter(n_bits, raw.value).may_hold(list(d)))
+    def filter(self, i: int) -> np.ndarray:
+        """The filter of run i, made when it is first asked for."""
+        if self.filters[i] is None:
+            self.filters[i] = bloom.build(self.runs[i].select(F.xxhash64("digest")))
+        return self.filters[i]
 
-        return probe(digest)
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """rows (with a column digest) and keep_id, n of the index, null where it has none. Rows that no run's filter may hold skip the join."""
+        maybe = reduce(lambda a, b: a | b, [bloom.probe(self.spark, self.filter(i))(F.xxhash64("digest")) for i in range(len(self.runs))])
+        marked = rows.withColumn("__maybe", maybe)
+        found = reduce(DataFrame.unionByName, self.runs).groupBy("digest").agg((F.max if self.keep == "max" else F.min)("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        none = {"keep_id": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}
+        return marked.filter("__maybe").join(found, "digest", "left").unionByName(marked.filter("not __maybe").withColumns(none)).drop("__maybe")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", digest: Column | None = None, salts: int = 32, hot_rows: int = 5_000, memtable_rows: int = 200_000) -> DataFrame:
@@ -159,7 +111,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     spread = (lambda d: F.explode(F.when(d.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))) if hot else (lambda d: F.lit(0))
     salt_of, all_salts = (lambda d, i: salted(d, i).cast("long")), (lambda d: spread(d).cast("long"))
 
-    marked = rows.withColumn("maybe", log.repeated(F.col("digest")))
+    repeated = bloom.build(index.filter("n > 1").select(F.xxhash64("digest")))
+    marked = rows.withColumn("maybe", bloom.probe(spark, repeated)(F.xxhash64("digest")))
     single = marked.filter(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     twice = index.filter("n > 1").select("digest", "keep_id", "n")
     met = (

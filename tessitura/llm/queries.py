@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tessitura.llm import chat, exact, mixing, urlfilter
+from tessitura.llm import chat, exact, langid, minhash, mixing, packing, quality_rules, substring, urlfilter
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_pack": packing.op2_pack,
+    "op4_language_id": langid.op4_language_id,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_near_dedup": minhash.op7_near_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_exact_dedup": exact.op10_exact_dedup,
