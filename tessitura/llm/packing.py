@@ -44,13 +44,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = [t.split() if t.isascii() else _split(t) for t in texts]
         known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
         new = list({w for r in runs for w in r if w not in known})
         extra = {}
         if new:
             ids = (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
             extra = dict(zip(new, ids, strict=True))
-            if len(known) + len(extra) > CACHE_WORDS:
-                known.clear()
             known.update(x for x in extra.items() if len(x[0]) <= LONGEST_CACHED)
         get = known.get
         out = []
