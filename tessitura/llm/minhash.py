@@ -301,7 +301,7 @@ def _deal(lists: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row per row of docs.
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), one row per row of docs.
 
     A text's set: its distinct shingles of `words` words, with A-Z lower-cased; a text of fewer words has its whole sequence
     as one. Null texts and texts without words have none, and link with nothing. Rows whose sets satisfy 100 * intersection
@@ -312,8 +312,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     10**5 to 10**6.
     """
     least = match_threshold(percent)
-    own = docs.select(F.col(doc_id).alias("doc_id"), sketch(words)(F.col(text)).alias("s"))
-    rows = store(own.select("doc_id", "s.n", "s.fp", "s.sig"), "sketches")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), sketch(words)(F.col(text)).alias("s"))
+    rows = store(own.select("doc_id", "text_hash", "s.n", "s.fp", "s.sig"), "sketches")
     classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sets = Sets(docs, doc_id, text, words, classes)
@@ -347,11 +347,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = classes.select("fp", "node", "low").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     of = placed.join(low, "root").select("fp", "component_id")
-    out = rows.select("doc_id", "n", "fp").join(of, "fp", "left")
+    out = rows.select("doc_id", "text_hash", "n", "fp").join(of, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with Jaccard similarity of 3-word shingles of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85).drop("text_hash")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessitura.llm import chat, exact, langid, minhash, mixing, packing, quality_rules, substring, urlfilter
+from tessitura.llm import chat, exact, langid, minhash, mixing, packing, quality_classifier, quality_rules, substring, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_pack": packing.op2_pack,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_language_id": langid.op4_language_id,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_substring_dedup": substring.op6_substring_dedup,
