@@ -7,6 +7,7 @@ one, two for one) between underfull bins that increase the sum of squared fills
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,55 +20,119 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.llm import bytescan
 from tessitura.llm.common import store, table
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 GROUP_ITEMS = 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 LONGEST_CACHED = 64
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, row_no long"
 
 
 class Encoder:
-    """Ids as bytes (little-endian unsigned 32 bit), by runs between ASCII white space, with a bounded cache of runs.
+    """Token ids of whole slices of texts, by runs between ASCII white space, with a bounded cache of runs.
 
-    This vocabulary drops white space and never joins characters across it, so a text's ids are its runs' ids in order.
+    This vocabulary drops white space, never joins characters across it or between letters and signs, folds case, and ends
+    each word with a piece that ends no other place. So a text's ids are its runs' ids in order, a run's those of its stem and
+    of the signs after it; only a slice's distinct runs are looked up, and words can be encoded many at a time and told apart.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.split() if t.isascii() else _split(t) for t in texts]
+        # The same pieces and merges without normaliser: for words of letters that are folded already.
+        parts = json.loads(self.tokenizer.to_str())["model"]
+        self.bare = Tokenizer(BPE(parts["vocab"], [tuple(m) for m in parts["merges"]], end_of_word_suffix=parts["end_of_word_suffix"], cache_capacity=0))
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids)."""
+        low = bytescan.TO_LOWER[data]
+        raw = low.tobytes()
+        if any(t in raw for t in self.special):  # in any case: strings of special tokens must be seen as they stand
+            texts = [data[x:y].tobytes().decode() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+            ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+        w = bytescan.Words(low, offsets)
+        starts, ends, first = _cut(low, w)
+        _, at, inverse = np.unique(bytescan.ranges(low, starts, ends), return_index=True, return_inverse=True)
+        runs = [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for r in runs for w in r if w not in known})
-        extra = {}
-        if new:
-            ids = (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-            extra = dict(zip(new, ids, strict=True))
-            known.update(x for x in extra.items() if len(x[0]) <= LONGEST_CACHED)
-        get = known.get
-        out = []
-        for r in runs:
-            try:
-                out.append(b"".join([known[w] for w in r]))
-            except KeyError:
-                out.append(b"".join([extra[w] if (x := get(w)) is None else x for w in r]))
-        return out
-
-
-def _split(text: str) -> list[str]:
-    """Runs between the six ASCII white-space characters only; other white space stays inside a run, where the tokenizer drops it."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-
-
-_TO_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}
+        extra = self.learn([r for r in runs if r not in known])
+        found = [known.get(r) or extra.get(r, b"") for r in runs] if extra else list(map(known.__getitem__, runs))
+        pieces = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        base = np.cumsum(size) - size
+        n = size[inverse]
+        until = np.cumsum(n)
+        ids = pieces[np.repeat(base[inverse] - (until - n), n) + np.arange(until[-1] if len(until) else 0)]
+        return ids, np.concatenate([[0], until])[first]
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Put runs into the cache; those too long for it are returned."""
+        long, plain = {}, []
+        for r in new:
+            w = r.decode()
+            if len(r) > LONGEST_CACHED:
+                long[r] = self.one(w)
+            elif w.isalpha() and (w.isascii() or (w == w.lower() and max(w) < "\u0100")):
+                plain.append(w)
+            else:
+                self.known[r] = self.one(w)
+        for a in range(0, len(plain), 2000):
+            self.many(plain[a : a + 2000])
+        return long
+
+    def one(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def many(self, words: list[str]) -> None:
+        """Words of letters only, in one go: a word ends where a piece ends a word."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stop) != len(words):
+            self.known.update((w.encode(), self.one(w)) for w in words)
+            return
+        raw, stop = ids.tobytes(), stop.tolist()
+        self.known.update((w.encode(), raw[x:y]) for w, x, y in zip(words, [0, *stop[:-1]], stop, strict=True))
+
+
+#: ASCII signs that may follow a letter without changing how the letters are cut; an apostrophe may not.
+_SIGN = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
+
+
+def _cut(low: np.ndarray, w: bytescan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with the signs at their end as runs of their own: starts, ends, each text's first run.
+
+    Only after a letter of ASCII or of U+00C0 to U+00FF; other runs stay whole.
+    """
+    n = len(low)
+    if not len(w.starts):
+        return w.starts, w.ends, w.first
+    plain = np.where(_SIGN[low], 0, np.arange(1, n + 1))
+    stem = np.maximum.accumulate(plain)[w.ends - 1]  # past the last byte that is no sign
+    last, before = low[stem - 1], low[np.maximum(stem - 2, 0)]
+    letter = ((last >= 97) & (last <= 122)) | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    cut = (stem > w.starts) & (stem < w.ends) & letter
+    place = np.arange(len(cut)) + np.cumsum(cut) - cut
+    starts, ends = np.empty(len(cut) + cut.sum(), np.int64), np.empty(len(cut) + cut.sum(), np.int64)
+    starts[place], ends[place] = w.starts, np.where(cut, stem, w.ends)
+    starts[place[cut] + 1], ends[place[cut] + 1] = stem[cut], w.ends[cut]
+    return starts, ends, np.append(place, len(starts))[w.first]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -77,27 +142,31 @@ def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id
     A row's tokens are the ids of its whole text (null: none) and then end_id, cut into pieces of `capacity` tokens.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    end = np.array([end_id], dtype="<u4").tobytes()
     schema = PIECES.format(id=docs.schema[doc_id].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         n = TaskContext.get().partitionId() << 34
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(enc.encode(part.column(1).fill_null("").to_pylist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, range(n, n + len(rows))))], ["doc_id", "piece", "start", "length", "ids_crc32", "row_no"])
-                n += len(rows)
+            for i, j, data, offsets in bytescan.slices(b.column(1), 2 << 20):
+                ids, at = enc.encode(data, offsets)
+                at = at + np.arange(j - i + 1)
+                own = np.full(len(ids) + j - i, end_id, dtype="<u4")
+                mask = np.ones(len(own), dtype=bool)
+                mask[at[1:] - 1] = False
+                own[mask] = ids
+                raw = memoryview(own).cast("B")
+                row, piece, start, length, crc = [], [], [], [], []
+                for k, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    for p, z in enumerate(range(x, y, capacity)):
+                        end = min(y, z + capacity)
+                        row.append(i + k)
+                        piece.append(p)
+                        start.append(z - x)
+                        length.append(end - z)
+                        crc.append(zlib.crc32(raw[4 * z : 4 * end]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, range(n, n + len(row))))], ["doc_id", "piece", "start", "length", "ids_crc32", "row_no"])
+                n += len(row)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
