@@ -210,28 +210,26 @@ class Bins:
         `steps` bounds the exchanges tried and grows with the items.
         """
         sizes, fill, items, cap = self.sizes, self.fill, self.items, self.capacity
-        under = sorted((b for b in range(len(items)) if fill[b] < cap), key=lambda b: (fill[b], b))
+        under = [b for b in range(len(items)) if fill[b] < cap]
         holders: dict[int, set[int]] = {}  # gap -> underfull bins with that gap
         for b in under:
             holders.setdefault(cap - fill[b], set()).add(b)
-        left = steps
-        for donor in under:
-            if left <= 0 or not items[donor] or fill[donor] == cap:
-                continue
-            changed = True
-            while changed and items[donor] and left > 0:
-                changed = False
-                for i in sorted(items[donor], key=lambda i: -sizes[i]):
-                    left -= 1
-                    if (to := self._room(holders, donor, sizes[i])) is not None:  # a move
-                        self._shift(holders, donor, to, [i], [])
-                        changed = True
-                        break
-                    found = self._exchange(holders, donor, i)
-                    if found is not None:
-                        to, back = found
-                        self._shift(holders, donor, to, [i], back)
-                        changed = True
+        left, changed = steps, True
+        while changed and left > 0:  # an exchange between fuller bins may make room for what found none before
+            changed = False
+            for donor in sorted((b for b in under if items[b] and fill[b] < cap), key=lambda b: (fill[b], b)):
+                again = True
+                while again and items[donor] and fill[donor] < cap and left > 0:
+                    again = False
+                    for i in sorted(items[donor], key=lambda i: (-sizes[i], i)):
+                        left -= 1
+                        if (to := self._room(holders, donor, sizes[i])) is not None:  # a move
+                            self._shift(holders, donor, to, [i], [])
+                        elif (found := self._exchange(holders, donor, i)) is not None:
+                            self._shift(holders, donor, found[0], [i], found[1])
+                        else:
+                            continue
+                        again = changed = True
                         break
 
     def _room(self, holders: dict[int, set[int]], donor: int, size: int) -> int | None:
