@@ -22,7 +22,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _pow(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         p = np.full(max(n, SLICE + 1), base & (2**64 - 1), dtype=np.uint64)
         p[0] = 1
         with np.errstate(over="ignore"):

@@ -31,6 +31,7 @@ class DigestLog:
         self.spark, self.keep, self.memtable_rows = spark, keep, memtable_rows
         self.runs: list[DataFrame] = []
         self.filters: list[np.ndarray | None] = []
+        self.compacted = False
 
     def add(self, rows: DataFrame) -> None:
         """Flush rows (digest, id) as sorted runs: digest, keep_id, n; a filter of the whole table beside them."""
@@ -59,14 +60,15 @@ class DigestLog:
 
         self.runs.append(store(rows.mapInArrow(memtables, "digest binary, keep_id long, n long"), "run"))
         self.filters.append(None)
+        self.compacted = False
 
     def compact(self) -> DataFrame:
         """Merge all runs into one, sorted within its files: of each digest the extreme identifier and the sum of rows."""
-        if len(self.runs) > 1 or self.filters[:1] == [None]:
+        if not self.compacted:
             both = reduce(DataFrame.unionByName, self.runs)
             best = (F.max if self.keep == "max" else F.min)("keep_id").alias("keep_id")
             self.runs = [store(both.groupBy("digest").agg(best, F.sum("n").alias("n")).sortWithinPartitions("digest"), "level")]
-            self.filters = [None]
+            self.filters, self.compacted = [None], True
         return self.runs[0]
 
     def filter(self, i: int) -> np.ndarray:
@@ -84,7 +86,7 @@ class DigestLog:
         return marked.filter("__maybe").join(found, "digest", "left").unionByName(marked.filter("not __maybe").withColumns(none)).drop("__maybe")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", digest: Column | None = None, salts: int = 32, hot_rows: int = 5_000, memtable_rows: int = 200_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", digest: Column | None = None, salts: int = 32, hot_rows: int = 1_000, memtable_rows: int = 200_000) -> DataFrame:
     """Add keep_id, group_size, kept, digest (binary) to every row of docs.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the least (keep="max": the
@@ -107,9 +109,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     total = index.agg(F.sum("n")).first()[0] or 0
     least = max(hot_rows, total // 1000)
     hot = [bytes(r["digest"]) for r in index.filter(F.col("n") > least).select("digest").collect()]  # a thousand at most
-    salted = (lambda d, i: F.when(d.isin(hot), F.pmod(F.xxhash64(i), F.lit(salts))).otherwise(0)) if hot else (lambda d, i: F.lit(0).cast("long"))
-    spread = (lambda d: F.explode(F.when(d.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))) if hot else (lambda d: F.lit(0))
-    salt_of, all_salts = (lambda d, i: salted(d, i).cast("long")), (lambda d: spread(d).cast("long"))
+    zero = F.lit(0).cast("long")
+    if hot:
+        salt_of = lambda d, i: F.when(d.isin(hot), F.pmod(F.xxhash64(i), F.lit(salts).cast("long"))).otherwise(zero)
+        all_salts = lambda d: F.explode(F.when(d.isin(hot), F.sequence(zero, zero + (salts - 1))).otherwise(F.array(zero)))
+    else:
+        salt_of, all_salts = (lambda d, i: zero), (lambda d: zero)
 
     repeated = bloom.build(index.filter("n > 1").select(F.xxhash64("digest")))
     marked = rows.withColumn("maybe", bloom.probe(spark, repeated)(F.xxhash64("digest")))

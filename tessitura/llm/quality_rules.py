@@ -56,7 +56,7 @@ def scan(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
     ends = ends - (data[ends - 1] == 10) if len(ends) else ends
     line_doc = np.searchsorted(offsets, starts, "right") - 1
     full = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)

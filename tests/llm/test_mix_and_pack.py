@@ -2,7 +2,7 @@ import random
 import struct
 import zlib
 from collections import defaultdict
-from itertools import product
+from itertools import combinations, product
 
 import brute
 import public_tokenizers
@@ -36,6 +36,16 @@ def test_flow_is_cheapest():
         assert (met, paid) == (pytest.approx(best[0]), pytest.approx(-best[1]))
 
 
+def test_subsets_are_nearest():
+    rng = random.Random(8)
+    for _ in range(200):
+        sizes = [rng.randrange(0, 30) for _ in range(rng.randrange(0, 9))]
+        due = rng.randrange(0, 120)
+        take = mixing.nearest_subset(sizes, due)
+        sums = {sum(c) for k in range(len(sizes) + 1) for c in combinations(sizes, k)}
+        assert abs(sum(s for s, t in zip(sizes, take, strict=True) if t) - due) == min(abs(x - due) for x in sums)
+
+
 def test_mix_meets_targets(spark, sf, texts):
     rows = mixing.op5_mix_sources(spark, sf).collect()
     sizes = defaultdict(int)
@@ -47,7 +57,7 @@ def test_mix_meets_targets(spark, sf, texts):
         assert r.size == len(brute.words(texts[r.doc_id].text)) and 0 <= r.taken <= 2 * r.size
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 0.03 * want[s] + 20 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 20 for s in want)
     assert rows == mixing.op5_mix_sources(spark, sf).collect() or {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.op5_mix_sources(spark, sf).collect()}
 
 
@@ -110,7 +120,7 @@ def test_local_search_helps_and_keeps_items():
         bins.best_fit()
         assert len(fill) <= len(bins.items)
     # Best fit needs three bins here; exchanges bring two.
-    sizes = [1024, 700, 700, 674, 500, 498]
+    sizes = [900, 800, 748, 700, 500, 448]
     assert len(set(packing.pack_sizes(sizes)[0].tolist())) == 2
 
 
