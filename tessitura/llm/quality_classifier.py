@@ -62,7 +62,7 @@ def _insults() -> np.ndarray:
 class Ftrl:
     """Logistic regression by FTRL-proximal over sets of feature numbers; most weights stay zero."""
 
-    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.2, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         self.bias = 0.0
@@ -111,6 +111,15 @@ def _features_of():
     return run
 
 
+def quality_votes(s: str = "stats") -> dict[str, Column]:
+    """The rules, and two more labellers that overlap them: half of all words repeated, and fewer than 50 words."""
+    n, r = F.col(f"{s}.n_words"), F.col(f"{s}.n_repeat_words")
+    return rules(s) | {
+        "mostly_repeats": F.when(2 * r > n, -1).when(10 * r < n, 1).otherwise(0),
+        "brief": F.when(n < 50, -1).when(n >= 100, 1).otherwise(0),
+    }
+
+
 def toxic_votes(s: str = "stats", label: str = "toxic_label") -> dict[str, Column]:
     """Votes on a text being free of toxicity: the insult list, and a human label, where there is one."""
     return {
@@ -136,7 +145,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labels
         given = labels.select(F.col("doc_id"), F.col("toxic").alias("toxic_label")).groupBy("doc_id").agg(F.max("toxic_label").alias("toxic_label"))
         rows = rows.join(given, "doc_id", "left")
     rows = store(rows, "weak")
-    labelled, _ = votes.label(rows, list(rules().values()), "weak_quality")
+    labelled, _ = votes.label(rows, list(quality_votes().values()), "weak_quality")
     labelled, _ = votes.label(labelled, list(toxic_votes().values()), "weak_clean")
 
     total = max(1, rows.count())

@@ -34,7 +34,7 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float =
     meaning; abstaining says nothing about the class. Without rows, the starting values hold.
     """
     n = votes.shape[1]
-    model = LabelModel(prior, np.tile([0.95, 0.5], (n, 1)))
+    model = LabelModel(prior, np.tile([0.98, 0.25], (n, 1)))
     for _ in range(rounds if len(votes) else 0):
         p = model.posterior(votes)
         good, bad = p * counts, (1 - p) * counts
