@@ -10,12 +10,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import WORD, store, table
 
 MOST_PATTERNS = 200_000
+#: Patterns of so many documents at most are selected by exact subset sums, larger ones by order and filling.
+FEW_DOCUMENTS = 200
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -103,6 +107,25 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict[str | None, float], co
                 flow[b[1], a[1]] -= room
 
 
+def nearest_subset(sizes: Sequence[int], due: int) -> list[bool]:
+    """Which of sizes (in order of preference) to take, so that their sum is as near to due as any; the smaller of two equally near.
+
+    Reachable sums are the bits of whole numbers, one for each prefix; going back, later sizes are left out where they can be.
+    """
+    reach = [1]
+    for s in sizes:
+        reach.append(reach[-1] | reach[-1] << s)
+    low = (reach[-1] & ((1 << (due + 1)) - 1)).bit_length() - 1
+    high = reach[-1] >> (due + 1)
+    above = due + 1 + (high & -high).bit_length() - 1 if high else None
+    left = above if above is not None and above - due < due - low else low
+    take = [False] * len(sizes)
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> left & 1:
+            take[i], left = True, left - sizes[i]
+    return take
+
+
 def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 17, fills: int = 3) -> DataFrame:
     """doc_id, size, sources (sorted array), source_size, target (arrays beside sources), taken, times.
 
@@ -110,14 +133,14 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
     size: tokens of a row, as long. Each row of docs gives one row; rows with equal doc_id are documents of their own,
     taken alike unless their sizes differ. taken is a multiple of size, `copies` times at most; rows of size 0 take 0.
     A pattern's selection follows a seeded hash; what a boundary leaves open, `fills` more documents fill, largest fitting
-    first. An empty table gives no rows. More than MOST_PATTERNS membership patterns are refused before anything is
+    first. Patterns of FEW_DOCUMENTS or less are selected by nearest_subset instead. An empty table gives no rows. More than MOST_PATTERNS membership patterns are refused before anything is
     gathered: they are what the driver holds.
     """
     spark = docs.sparkSession
     set_of = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array()), lambda s: F.struct(s.isNull().alias("none"), s.alias("name")))))
     set_of = F.when(F.size(set_of) == 0, F.array(F.struct(F.lit(True).alias("none"), F.lit(None).cast("string").alias("name")))).otherwise(set_of)
     rows = docs.select(F.col(doc_id).alias("doc_id"), size.cast("long").alias("size"), set_of["name"].alias("sources"))
-    rows = store(rows.withColumn("pattern", F.xxhash64(F.to_json("sources"))), "sizes")
+    rows = store(rows.withColumns({"pattern": F.xxhash64(F.to_json("sources")), "row_no": F.monotonically_increasing_id()}), "sizes")
     patterns = rows.groupBy("pattern", "sources").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
     found = patterns.limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
@@ -134,26 +157,37 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
     due = {p: min(float(copies * n), sum(flow.get((p, s), 0.0) for s in p)) for p, n in capacity.items()}
 
     most = max((r["n"] for r in found), default=1)
-    buckets = max(16, most // 20_000)
+    buckets = max(64, most // 20_000)
     plan = spark.createDataFrame(
-        [(r["pattern"], int(due[p := tuple(r["sources"])] // capacity[p]) if capacity[p] else 0, int(round(due[p] % capacity[p])) if capacity[p] else 0, [sizes[s] for s in p], [float(quota[s]) for s in p]) for r in found],
-        "pattern long, whole int, rest long, source_size array<long>, target array<double>",
+        [(r["pattern"], int(due[p := tuple(r["sources"])] // capacity[p]) if capacity[p] else 0, int(round(due[p] % capacity[p])) if capacity[p] else 0, [sizes[s] for s in p], [float(quota[s]) for s in p], r["n"] <= FEW_DOCUMENTS) for r in found],
+        "pattern long, whole int, rest long, source_size array<long>, target array<double>, few boolean",
     )
     # Seeded order in two steps, so that no source meets in one task: sums of hash buckets, then the order within a bucket.
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
     keyed = rows.withColumns({"order": order, "bucket": F.pmod(F.shiftrightunsigned(order, 8), F.lit(buckets)).cast("int")})
+    keyed = keyed.join(F.broadcast(plan.select("pattern", "whole", "rest", "few")), "pattern")  # plan: MOST_PATTERNS rows at most
+
+    def subset(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["order", "row_no"])
+        return pd.DataFrame({"row_no": part["row_no"], "more": np.array(nearest_subset(part["size"].tolist(), int(part["rest"].iloc[0])), dtype=np.int32)})
+
+    few = keyed.filter("few")
+    picked = few.select("pattern", "row_no", "order", "size", "rest").groupBy("pattern").applyInPandas(subset, "row_no long, more int")
+    few = few.join(picked, "row_no")
+    keyed = keyed.filter("not few")
     per_bucket = keyed.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"))
     before = per_bucket.select("pattern", "bucket", (F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("sum")).alias("base"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     chosen = (
-        keyed.join(before, ["pattern", "bucket"]).join(F.broadcast(plan.select("pattern", "whole", "rest")), "pattern")  # plan: MOST_PATTERNS rows at most
+        keyed.join(before, ["pattern", "bucket"])
         .withColumn("up_to", F.col("base") + F.sum("size").over(inside))
         .withColumn("more", (F.col("up_to") <= F.col("rest")).cast("int"))
     )
-    chosen = store(chosen.select("doc_id", "size", "sources", "pattern", "order", "whole", "rest", "more"), "chosen")
+    cols = ["doc_id", "size", "sources", "pattern", "order", "whole", "rest", "few", "more"]
+    chosen = store(chosen.select(cols).unionByName(few.select(cols)), "chosen")
     for _ in range(fills):
         gap = chosen.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-        fits = chosen.join(F.broadcast(gap), "pattern").filter((F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        fits = chosen.join(F.broadcast(gap), "pattern").filter(~F.col("few") & (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
         best = fits.groupBy("pattern").agg(F.max(F.struct("size", "order", "doc_id")).alias("best"))
         picks = [(r["pattern"], r["best"]["size"], r["best"]["order"], r["best"]["doc_id"]) for r in best.collect()]  # one a pattern at most
         if not picks:
