@@ -76,9 +76,9 @@ def signal_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH s AS ({SIG}), m AS (SELECT vec_id, list_transform(range(0, 32), lambda i: (x[2 * i + 1] + x[2 * i + 2]) / 2) AS mono, x FROM s),
-l AS (SELECT vec_id, mono, x, list_transform(range(0, 22), lambda i: i * (16000::DOUBLE / 11025::DOUBLE)) AS at FROM m)
+l AS (SELECT vec_id, mono, x, list_transform(range(0, 22), lambda i: i * (16000::DOUBLE / 11025::DOUBLE)) AS spot FROM m)
 SELECT vec_id, round(list_sum(mono), 6) AS mono_sum,
-  round(list_sum(list_transform(at, lambda a: mono[floor(a)::INT + 1] * (1 - (a - floor(a))) + mono[least(floor(a)::INT + 1, 31) + 1] * (a - floor(a)))), 6) AS linear_sum,
+  round(list_sum(list_transform(spot, lambda a: mono[floor(a)::INT + 1] * (1 - (a - floor(a))) + mono[least(floor(a)::INT + 1, 31) + 1] * (a - floor(a)))), 6) AS linear_sum,
   round(list_sum(list_transform(range(0, 22), lambda i: x[i * 3 + 1])), 6) AS strided_sum,
   round(2 * list_sum(x), 6) AS repeated_sum,
   round(list_sum(list_transform(range(0, floor(64 / (16000::DOUBLE / 11025::DOUBLE))::INT), lambda i: x[least(floor(i * (16000::DOUBLE / 11025::DOUBLE))::INT, 63) + 1])), 6) AS nearest_sum
@@ -110,7 +110,7 @@ def signal_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH s AS ({SIG}), h AS (SELECT vec_id, x, x[1:8] AS h FROM s),
-y AS (SELECT vec_id, list_transform(range(1, 65), i -> list_sum(list_transform(range(1, least(i, 8) + 1), lambda k: x[i - k + 1] * h[k]))) AS y FROM h)
+y AS (SELECT vec_id, list_transform(range(1, 65), lambda i: list_sum(list_transform(range(1, least(i, 8) + 1), lambda k: x[i - k + 1] * h[k]))) AS y FROM h)
 SELECT vec_id, round(list_sum(y) / CASE WHEN list_max(list_transform(y, lambda v: abs(v))) > 1e-6 THEN list_max(list_transform(y, lambda v: abs(v))) ELSE 1 END, 6) AS reverb_sum FROM y""")
 def signal_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector convolved with its own first eight samples, at peak 1."""
