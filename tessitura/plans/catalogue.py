@@ -769,3 +769,52 @@ def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     g = e.groupBy(F.session_window("ts", "4 hours").alias("s"), "user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("peak"))
     return g.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n", F.round("mean", 6).alias("mean"), "peak")
+
+
+_ADMIT = f"""r AS (SELECT path, {DEC} <> 'FAIL' AS ok, 1 / (1 + exp(-({_RAW}))) AS pr FROM m),
+f AS (SELECT path, should_transcribe = 'yes' AS target, bool_or(ok) AS rule, max(pr) >= 6e-1 AS learned FROM r JOIN files USING (path) WHERE should_transcribe <> '' GROUP BY path, should_transcribe),
+x AS (SELECT target, policy, CASE policy WHEN 'rule' THEN rule WHEN 'learned' THEN learned ELSE rule AND learned END AS said FROM f, (VALUES ('rule'), ('learned'), ('hybrid')) v(policy))"""
+
+
+@query(f"""WITH {METRICS_SQL}, {FILES_SQL}, {_ADMIT}, w AS (SELECT policy, {_COUNTS('said')} FROM x GROUP BY policy),
+y AS (SELECT *, tp / greatest(tp + fp, 1)::DOUBLE AS pr, tp / greatest(tp + fn, 1)::DOUBLE AS re FROM w)
+SELECT policy, tp, fp, tn, fn, round(fp / greatest(fp + tn, 1)::DOUBLE, 6) AS far_admit, round(fn / greatest(tp + fn, 1)::DOUBLE, 6) AS frr, round(2 * pr * re / greatest(pr + re, 1e-15), 6) AS f1, round(100 * (tn + fn) / greatest(tp + fp + tn + fn, 1)::DOUBLE, 6) AS calls_avoided_pct FROM y""")
+def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule, learned and hybrid admission against the files' verdicts, and the share of calls that each avoids."""
+    rows = gate.gate(views.metrics(spark, sf_dir)).withColumn("pr", logistic(ensemble.score_sql(_ENS, _features())))
+    per = rows.groupBy("path").agg(F.bool_or(F.col("decision") != "FAIL").alias("rule"), (F.max("pr") >= 0.6).alias("learned"))
+    f = per.join(views.files(spark, sf_dir).filter("should_transcribe <> ''"), "path")
+    x = f.withColumn("policy", F.explode(F.array(*map(F.lit, ("rule", "learned", "hybrid")))))
+    said = gate.admission(F.col("policy"), F.col("rule"), F.col("learned"))["admitted"]
+    w = x.withColumn("said", said).groupBy("policy").agg(*metrics.counts(F.col("should_transcribe") == "yes", F.col("said")))
+    c, one = F.col, F.lit(1)
+    p, q = ratio(c("tp"), F.greatest(c("tp") + c("fp"), one)), ratio(c("tp"), F.greatest(c("tp") + c("fn"), one))
+    n = c("tp") + c("fp") + c("tn") + c("fn")
+    return rounded(w.select("policy", "tp", "fp", "tn", "fn", ratio(c("fp"), F.greatest(c("fp") + c("tn"), one)).alias("far_admit"), ratio(c("fn"), F.greatest(c("tp") + c("fn"), one)).alias("frr"), (2 * p * q / F.greatest(p + q, d(1e-15))).alias("f1"), (100 * ratio(c("tn") + c("fn"), F.greatest(n, one))).alias("calls_avoided_pct")))
+
+
+@query("""SELECT l.doc_id, d.lang AS label, l.quality AS target, d.doc_id IS NOT NULL AND d.doc_id % 5 <> 0 AS found FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
+def prediction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with their saved rows, and which are missing (here: every fifth), in one outer join."""
+    saved = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), (F.col("doc_id") % 5 != 0).alias("kept"))
+    out = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("target")).join(saved, "doc_id", "left")
+    return out.select("doc_id", "label", "target", F.coalesce("kept", F.lit(False)).alias("found"))
+
+
+@query("""SELECT lang AS dataset, count(*) AS n_files, count(n_chars) AS n_read, count(*) FILTER (WHERE n_chars IS NULL) AS n_unreadable, round(sum(n_chars) / 16000 / 3600::DOUBLE, 9) AS hours, count(DISTINCT n_chars % 3) AS n_rates FROM documents GROUP BY lang""")
+def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, readable ones, hours and distinct rates of each manifest."""
+    n = F.col("n_chars")
+    out = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.count("*").alias("n_files"), F.count(n).alias("n_read"), F.count_if(n.isNull()).alias("n_unreadable"), (F.sum(n) / d(16000) / d(3600)).alias("hours"), F.countDistinct(n % 3).alias("n_rates"))
+    return rounded(out, 9)
+
+
+@query(f"""WITH {METRICS_SQL}, g AS (SELECT ({DEC} = 'PASS')::INT::DOUBLE AS y, * FROM m), c AS (SELECT {", ".join(f"abs(corr({x}, y)) AS {x}" for x in gate.METRICS)} FROM g),
+l AS (SELECT unnest([{", ".join(f"'{x}'" for x in gate.METRICS)}]) AS feature, unnest([{", ".join(gate.METRICS)}]) AS weight FROM c)
+SELECT feature, round(weight, 6) AS weight FROM l ORDER BY l.weight DESC, feature LIMIT 10""")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the ten features that go most with passing, by correlation, in one aggregate."""
+    g = gate.gate(views.metrics(spark, sf_dir)).withColumn("y", (F.col("decision") == "PASS").cast("double"))
+    one = g.agg(*[F.abs(F.corr(x, "y")).alias(x) for x in gate.METRICS])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("weight")) for x in gate.METRICS])).alias("x")).select("x.*")
+    return rounded(long.orderBy(F.desc("weight"), "feature").limit(10))
