@@ -25,7 +25,7 @@ LONGEST_PIECE = 8
 #: Longer words are scored in parts of so many bytes.
 LONGEST_WORD = 32
 BLOCK = 1 << 15
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 200
 CACHE_WORDS = 400_000
 U = np.uint64
 _B = U(bytescan.BASE)
