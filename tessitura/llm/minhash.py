@@ -195,7 +195,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: Sets, least: int, perce
 
 
 def _cross(open_: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs of different components within lists: rows (token, a, b), or (token, a, null) for members of lists with too many pairs.
+    """Pairs of different components within lists: rows (token, a, b), or one row (token, null, null) for a part with too many pairs.
 
     open_: (token, part, node, root, n, sig). Lists arrive sorted by token; `part` deals longer lists out by blocks, and a
     member of block i comes to each pair of blocks (i, j).
@@ -213,11 +213,10 @@ def _cross(open_: DataFrame, least: int, percent: int) -> DataFrame:
                 same += sig[i, c] == sig[j, c]
             i, j = i[same >= least], j[same >= least]
             if len(i) > PAIRS_A_MEMBER * len(node):
-                a, b = node[np.unique(np.concatenate([i, j]))], None
-            else:
+                yield pa.RecordBatch.from_arrays([pa.array([token]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["token", "a", "b"])
+            elif len(i):
                 a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), token)), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["token", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), token)), pa.array(a), pa.array(b)], ["token", "a", "b"])
 
     return open_.mapInArrow(run, "token long, a long, b long")
 
@@ -278,10 +277,10 @@ def spanning(node: np.ndarray, root: np.ndarray, items: list[np.ndarray], percen
     return out
 
 
-def _dense(members: DataFrame, labels: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Links between members (token, node) of lists with many pairs: blocks meet in pairs with their full sets, and send a forest."""
+def _dense(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Links between members (token, node, root) of lists with many pairs: blocks meet in pairs with their full sets, and send a forest."""
     items = sets.of(members.select("node").distinct())
-    rows = _deal(members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))).join(items, "node")
+    rows = _deal(members).join(items, "node")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("node")
@@ -332,12 +331,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order = ["token", "part"]
     found = store(_cross(open_.select("token", "part", "node", "root", "n", "sig").repartition(*order).sortWithinPartitions(*order), least, percent), "cross")
     sparse = found.filter("b is not null").select("a", "b").distinct()
-    dense = found.filter("b is null").select("token", F.col("a").alias("node")).distinct()
+    dense = rest.join(found.filter("b is null").select("token").distinct(), "token").select("token", "node", "root")
     more = []
     if sparse.limit(1).count():
         more.append(_confirm(sparse, classes, sets, least, percent, False))
-    if dense.limit(1).count():
-        more.append(_dense(dense, labels, sets, percent))
+    if found.filter("b is null").limit(1).count():
+        more.append(_dense(dense, sets, percent))
     if more:
         both = links
         for x in more:
