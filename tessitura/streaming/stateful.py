@@ -15,13 +15,15 @@ from tessitura.config import SCENES, Adaptive
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes", key: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
     """Counts and sums by window of event time; overlapping if slide is given."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
-    return events.withWatermark(ts, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n", "total")
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need a time with a zone
+    return timed.withWatermark(ts, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes", key: str = "user_id", value: str = "value", ts: str = "ts") -> DataFrame:
     """Runs of a key's events with gaps below `gap`: start, stop, count, mean and maximum, emitted when the watermark passes."""
     s = F.session_window(ts, gap)
-    out = events.withWatermark(ts, late).groupBy(s.alias("s"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("peak"))
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    out = timed.withWatermark(ts, late).groupBy(s.alias("s"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("peak"))
     return out.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n", "mean", "peak")
 
 

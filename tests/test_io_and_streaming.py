@@ -22,7 +22,7 @@ def test_wav_round_trip(spark, tmp_path):
     (tmp_path / "empty.wav").write_bytes(b"")
     (tmp_path / "note.txt").write_text("no")
     f = wav.files(spark, str(tmp_path))
-    assert f.count() == 3
+    assert f.count() == 2  # Spark skips files without a byte
     rows = wav.signals(f).collect()
     assert len(rows) == 1 and rows[0].sample_rate == 8000 and np.abs(np.array(rows[0].samples) - x).max() < 2 / 32767
     info = {r.path.rsplit("/", 1)[-1]: r.i for r in f.select("path", wav.audio_info(F.col("content")).alias("i")).collect()}
@@ -98,6 +98,7 @@ def test_streams_equal_batches(spark, tmp_path):
     mark.coalesce(1).write.mode("append").parquet(path)
     src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = stateful.drain(stateful.windowed(src, "6 hours"), "w", "complete").filter("event_type <> 'mark'")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     want = e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "event_type", "n", "total")
     assert {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in got.collect()} == {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in want.collect()}
     s = stateful.drain(stateful.sessions(src, "4 hours", late="40 days"), "s", "complete").filter("user_id >= 0")
