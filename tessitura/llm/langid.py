@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import bytescan
-from tessitura.llm.common import table
+from tessitura.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST_PIECE = 8
 #: Longer words are scored in parts of so many bytes.
 LONGEST_WORD = 32
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 MOST_LANGUAGES = 200
 CACHE_WORDS = 400_000
 U = np.uint64
@@ -257,7 +257,7 @@ def _count(rows: DataFrame, names: list[str], path: str, prob: np.ndarray) -> np
                 base = np.cumsum(size) - size
                 took = data[np.repeat(s - base, size) + np.arange(size.sum())]
                 held[len(held)] = (k, took, base, base + size, of[first], n)
-                if sum(len(x[0]) for x in held.values()) > 1_000_000:
+                if sum(len(x[0]) for x in held.values()) > 300_000:
                     flush()
         flush()
         for k in range(len(names)):
@@ -269,9 +269,10 @@ def _count(rows: DataFrame, names: list[str], path: str, prob: np.ndarray) -> np
 
     out = np.zeros_like(prob)
     kind = "lang int, at int, counts binary"
-    for r in rows.mapInArrow(count, kind).groupBy("lang", "at").applyInPandas(add, kind).toLocalIterator():
-        c = np.frombuffer(r["counts"])
-        out[r["at"] : r["at"] + len(c), r["lang"]] += c
+    with small_batches(rows.sparkSession):
+        for r in rows.mapInArrow(count, kind).groupBy("lang", "at").applyInPandas(add, kind).toLocalIterator():
+            c = np.frombuffer(r["counts"])
+            out[r["at"] : r["at"] + len(c), r["lang"]] += c
     return out
 
 

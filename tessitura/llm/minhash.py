@@ -28,7 +28,7 @@ COORDS = 48
 #: Counters of coordinate-value pairs, by hash; they only order the pairs.
 COUNTERS = 1 << 18
 #: Members of a posting list that are compared in one piece, and pairs a member above which a list is settled by blocks.
-BLOCK, PAIRS_A_MEMBER = 512, 8
+BLOCK, PAIRS_A_MEMBER = 2048, 8
 U = np.uint64
 _rng = np.random.default_rng(48)
 _FACTORS = _rng.integers(0, 2**63, COORDS, dtype=np.uint64) * U(2) + U(1)
@@ -205,13 +205,7 @@ def _cross(open_: DataFrame, least: int, percent: int) -> DataFrame:
         for token, rows in _runs(batches):
             node, root, n = (rows[c].to_numpy(zero_copy_only=False) for c in (2, 3, 4))
             sig = np.frombuffer(b"".join(rows[5].to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-            i, j = np.triu_indices(len(node), 1)
-            ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            same = np.zeros(len(i), dtype=np.int64)
-            for c in range(COORDS):
-                same += sig[i, c] == sig[j, c]
-            i, j = i[same >= least], j[same >= least]
+            i, j = _alike_pairs(root, n, sig, least, percent)
             if len(i) > PAIRS_A_MEMBER * len(node):
                 yield pa.RecordBatch.from_arrays([pa.array([token]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["token", "a", "b"])
             elif len(i):
@@ -221,6 +215,22 @@ def _cross(open_: DataFrame, least: int, percent: int) -> DataFrame:
     return open_.mapInArrow(run, "token long, a long, b long")
 
 
+def _alike_pairs(root: np.ndarray, n: np.ndarray, sig: np.ndarray, least: int, percent: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of different roots, sizes that can be alike, and at least `least` equal coordinates; a few rows against all at a time."""
+    left, right = [], []
+    for a in range(0, len(n), rows):
+        at = slice(a, a + rows)
+        same = np.zeros((len(n[at]), len(n)), dtype=np.uint8)
+        for c in range(COORDS):
+            same += sig[at, c, None] == sig[None, :, c]
+        ok = (same >= least) & (root[at, None] != root[None, :]) & (np.arange(len(n))[None, :] > np.arange(a, a + len(same))[:, None])
+        i, j = np.nonzero(ok)
+        fits = 100 * np.minimum(n[i + a], n[j]) >= percent * np.maximum(n[i + a], n[j])
+        left.append(i[fits] + a)
+        right.append(j[fits])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
     """Rows of each (token, part) in turn; columns 0 and 1 are token and part."""
     held: list[pa.RecordBatch] = []
