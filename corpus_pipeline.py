@@ -17,9 +17,9 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can be told, by a model of the stage's own rows with a language."""
+    """Texts whose language can be told, by a model of the stage's own rows with a language. Stored, for small batches to Python."""
     judged = langid.predict(docs, langid.train(docs))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return store(judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns), "language")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
