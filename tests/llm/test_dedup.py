@@ -146,6 +146,31 @@ def test_planted_passages(spark):
         assert all(x >= a - 12 and y <= b + 12 for x, y in got[i])
 
 
+@pytest.mark.parametrize("between", [60, 100, 200])
+def test_passages_around_different_text(spark, between):
+    """A shared opening and a shared end around different middles are two passages, though one chain runs over both."""
+    head, tail = _prose(60, 1), _prose(60, 2)
+    rows = [(i, " ".join([*head, *_prose(between, 10 + i), *tail])) for i in range(2)]
+    got = defaultdict(list)
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.start_word, r.end_word))
+    for i in range(2):
+        (a, b), (c, d) = sorted(got[i])
+        assert abs(a) <= 4 and abs(b - 60) <= 4 and abs(c - 60 - between) <= 4 and abs(d - 120 - between) <= 4
+
+
+def test_parts_of_a_chain():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(0, 8, 40), rng.integers(0, 8, 30)
+        x, y = substring.common(a, b)
+        assert len(x) == substring.align(a, b) and (a[x] == b[y]).all()
+        assert x == sorted(set(x)) and y == sorted(set(y))
+    x = np.concatenate([np.arange(60), np.arange(160, 220)])
+    assert substring.parts(x, x, 50, 0.8) == [(0, 60, 0, 60, 1.0), (160, 220, 160, 220, 1.0)]
+    assert substring.parts(x[:60:2], x[:60:2], 50, 0.8) == []
+
+
 def test_passages_on_odd_rows(edge, nothing):
     rows = substring.repeated_passages(edge).collect()
     assert {r.doc_id for r in rows} == {8, 9} and all(r.end_word - r.start_word >= 50 for r in rows)
