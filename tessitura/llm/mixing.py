@@ -2,7 +2,8 @@
 
 Documents are aggregated by the set of sources they belong to; the flow routes each pattern's token capacity to its
 sources' quotas at convex repetition costs (a first copy is free, each further copy costs more); then whole documents are
-selected in a seeded order until each pattern's flow is met. Only patterns, never documents, reach the driver.
+selected in a seeded order, past those that do not fit, and the rest of each pattern's flow is closed by subset sums. Only
+patterns, never documents, reach the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import WORD, store, table
 
 MOST_PATTERNS = 200_000
-#: Patterns of so many documents at most are selected by exact subset sums, larger ones by order and filling.
+#: Patterns of so many documents at most are selected by exact subset sums as a whole. Larger ones are selected by order;
+#: the same sums over half as many taken and half as many other documents of theirs then close the gap.
 FEW_DOCUMENTS = 200
 
 
@@ -126,14 +128,15 @@ def nearest_subset(sizes: Sequence[int], due: int) -> list[bool]:
     return take
 
 
-def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 17, fills: int = 3) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 17) -> DataFrame:
     """doc_id, size, sources (sorted array), source_size, target (arrays beside sources), taken, times.
 
     sources: an array of the sources of a row, null among them allowed; null or empty arrays stand for the null source.
     size: tokens of a row, as long. Each row of docs gives one row; rows with equal doc_id are documents of their own,
     taken alike unless their sizes differ. taken is a multiple of size, `copies` times at most; rows of size 0 take 0.
-    A pattern's selection follows a seeded hash; what a boundary leaves open, `fills` more documents fill, largest fitting
-    first. Patterns of FEW_DOCUMENTS or less are selected by nearest_subset instead. An empty table gives no rows. More than MOST_PATTERNS membership patterns are refused before anything is
+    A pattern's selection follows a seeded hash: the documents that fit are passed in order until none fits what is left
+    (a long one that nothing can be exchanged for is set apart first); then taken and other documents are exchanged for a sum nearest to what is due. Patterns of FEW_DOCUMENTS or less are
+    selected by nearest_subset alone. An empty table gives no rows. More than MOST_PATTERNS membership patterns are refused before anything is
     gathered: they are what the driver holds.
     """
     spark = docs.sparkSession
@@ -174,28 +177,59 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
     few = keyed.filter("few")
     picked = few.select("pattern", "row_no", "order", "size", "rest").groupBy("pattern").applyInPandas(subset, "row_no long, more int")
     few = few.join(picked, "row_no")
-    keyed = keyed.filter("not few")
-    per_bucket = keyed.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"))
-    before = per_bucket.select("pattern", "bucket", (F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("sum")).alias("base"))
-    inside = Window.partitionBy("pattern", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = (
-        keyed.join(before, ["pattern", "bucket"])
-        .withColumn("up_to", F.col("base") + F.sum("size").over(inside))
-        .withColumn("more", (F.col("up_to") <= F.col("rest")).cast("int"))
-    )
-    cols = ["doc_id", "size", "sources", "pattern", "order", "whole", "rest", "few", "more"]
-    chosen = store(chosen.select(cols).unionByName(few.select(cols)), "chosen")
-    for _ in range(fills):
-        gap = chosen.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-        fits = chosen.join(F.broadcast(gap), "pattern").filter(~F.col("few") & (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "order", "doc_id")).alias("best"))
-        picks = [(r["pattern"], r["best"]["size"], r["best"]["order"], r["best"]["doc_id"]) for r in best.collect()]  # one a pattern at most
-        if not picks:
+    many = keyed.filter("not few")
+
+    def passed(left: DataFrame) -> DataFrame:
+        """left (row_no, pattern, bucket, order, doc_id, size, gap) with `fits`: in order, up to the first that goes beyond the gap."""
+        per_bucket = left.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"))
+        before = per_bucket.select("pattern", "bucket", (F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("sum")).alias("base"))
+        inside = Window.partitionBy("pattern", "bucket").orderBy("order", "doc_id", "row_no").rowsBetween(Window.unboundedPreceding, 0)
+        up_to = F.col("base") + F.sum("size").over(inside)
+        return store(left.join(before, ["pattern", "bucket"]).withColumn("fits", up_to <= F.col("gap")).drop("base"), "pass")
+
+    def in_order(reserved: DataFrame) -> DataFrame:
+        """many with `more`: the reserved documents (pattern, row_no, size), then all that fit, in passes until none does.
+
+        Each pass takes one document of each pattern at least, and what it stops at no longer fits: what is left shrinks with the gap.
+        """
+        held = reserved.groupBy("pattern").agg(F.sum("size").alias("held"))
+        left = many.join(F.broadcast(held), "pattern", "left").withColumn("gap", F.col("rest") - F.coalesce("held", F.lit(0))).join(reserved.select("row_no"), "row_no", "left_anti")
+        left = left.filter("size > 0 and size <= gap").select("row_no", "pattern", "bucket", "order", "doc_id", "size", "gap")
+        taken = reserved.select("row_no")
+        while not left.isEmpty():
+            now = passed(left)
+            taken = taken.unionByName(now.filter("fits").select("row_no"))
+            gap = now.groupBy("pattern").agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+            left = now.filter("not fits").drop("fits", "gap").join(F.broadcast(gap), "pattern").filter("size <= gap")
+        return store(many.join(taken.withColumn("more", F.lit(1)), "row_no", "left").fillna(0, ["more"]), "passed")
+
+    reserved = spark.createDataFrame([], "pattern long, row_no long, size long")
+    while True:
+        filled = in_order(reserved)
+        gap = filled.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")).filter("gap > 0")
+        pool = filled.filter("size > 0").join(F.broadcast(gap), "pattern").select("pattern", "bucket", "row_no", "order", "size", "more", "gap", "rest")
+        for by in (["pattern", "more", "bucket"], ["pattern", "more"]):  # the first of each bucket, then the first of those
+            pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("order", "row_no"))).filter(F.col("rank") <= FEW_DOCUMENTS // 2).drop("rank")
+        pool = store(pool, "pool")
+        # A document too long to be exchanged for those of the pool is set apart, and the others are passed again.
+        give = pool.groupBy("pattern").agg(F.first("rest").alias("rest"), (F.first("gap") + F.sum(F.col("size") * F.col("more"))).alias("give"))
+        least = filled.filter("more = 0 and size > 0").groupBy("pattern").agg(F.min(F.struct("size", "order", "row_no")).alias("least"))
+        apart = least.join(give, "pattern").filter("least.size > give and least.size <= rest").select("pattern", "least.row_no", "least.size")
+        held = reserved.groupBy("pattern").agg(F.sum("size").alias("held"))
+        apart = store(apart.join(give, "pattern").join(held, "pattern", "left").filter("size + coalesce(held, 0) <= rest").select("pattern", "row_no", "size"), "apart")
+        if apart.isEmpty():
             break
-        add = spark.createDataFrame(picks, f"pattern long, size long, order long, doc_id {chosen.schema['doc_id'].dataType.simpleString()}").withColumn("pick", F.lit(1))
-        same = [chosen[c].eqNullSafe(add[c]) for c in ("pattern", "size", "order", "doc_id")]
-        filled = chosen.join(F.broadcast(add), same[0] & same[1] & same[2] & same[3], "left")
-        chosen = store(filled.select(*[chosen[c] for c in chosen.columns if c != "more"], F.greatest(chosen["more"], F.coalesce(add["pick"], F.lit(0))).alias("more")), "filled")
+        reserved = reserved.unionByName(apart)
+
+    def exchange(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["more", "order", "row_no"], ascending=[False, True, True])
+        due = int(part["gap"].iloc[0] + (part["size"] * part["more"]).sum())
+        return pd.DataFrame({"row_no": part["row_no"], "new": np.array(nearest_subset(part["size"].tolist(), due), dtype=np.int32)})
+
+    new = pool.drop("bucket", "rest").groupBy("pattern").applyInPandas(exchange, "row_no long, new int")
+    many = filled.join(new, "row_no", "left").withColumn("more", F.coalesce("new", "more"))
+    cols = ["doc_id", "size", "sources", "pattern", "whole", "more"]
+    chosen = store(many.select(cols).unionByName(few.select(cols)), "chosen")
     out = chosen.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern")
     times = F.least(F.lit(copies), F.col("whole") + F.col("more"))
     return out.select("doc_id", "size", "sources", "source_size", "target", (F.col("size") * times).alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).alias("times"))

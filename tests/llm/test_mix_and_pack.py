@@ -61,6 +61,17 @@ def test_mix_meets_targets(spark, sf, texts):
     assert rows == mixing.op5_mix_sources(spark, sf).collect() or {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.op5_mix_sources(spark, sf).collect()}
 
 
+def test_mix_goes_past_a_long_document(spark):
+    """Sources of 300 documents of 300 words and one of 100,000, in other orders each: the due words are met to half a document."""
+    rows = [(1000 * s + i, 100_000 if i == 0 else 300, f"s{s:02}") for s in range(12) for i in range(301)]
+    docs = spark.createDataFrame(rows, "doc_id long, n long, source string")
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(docs, "doc_id", F.col("n"), F.array("source"), weights=(1,), share=0.8, copies=1).collect():
+        taken[r.sources[0]] += r.taken
+        target[r.sources[0]] = r.target[0]
+    assert len(target) == 12 and all(abs(taken[s] - target[s]) <= 151 for s in target)
+
+
 def test_mix_on_odd_rows(edge, nothing):
     rows = mixing.mix(edge, "doc_id", mixing.word_count(), F.array("source")).collect()
     assert len(rows) == edge.count() and all(r.taken == r.size * r.times for r in rows)
