@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,6 +215,9 @@ class Bins:
         holders: dict[int, set[int]] = {}  # gap -> underfull bins with that gap
         for b in under:
             holders.setdefault(cap - fill[b], set()).add(b)
+        self.swaps: list[list[tuple[int, ...]]] = [[] for _ in range(cap + 1)]
+        for b in under:
+            self._list(b, True)
         left, changed = steps, True
         while changed and left > 0:  # an exchange between fuller bins may make room for what found none before
             changed = False
@@ -243,32 +247,38 @@ class Bins:
 
     def _exchange(self, holders: dict[int, set[int]], donor: int, i: int) -> tuple[int, list[int]] | None:
         """A fuller bin that takes item i for one or two smaller items of its own, filled the more the better."""
-        size, sizes = self.sizes[i], self.sizes
-        most = self.capacity - self.fill[donor]
-        tried = 0
-        best: tuple[int, int, list[int]] | None = None
-        for gap in sorted(g for g in holders if g <= most):
-            for b in holders[gap]:
-                if b == donor or not self.items[b]:
-                    continue
-                tried += 1
-                own = sorted(self.items[b], key=lambda j: sizes[j])
-                for x, j in enumerate(own):  # one for one: gain size - sizes[j] within the gap
-                    gain = size - sizes[j]
-                    if 0 < gain <= gap and (best is None or gap - gain < best[0]):
-                        best = (gap - gain, b, [j])
-                    for k in own[x + 1 :]:  # one for two
-                        gain = size - sizes[j] - sizes[k]
-                        if gain <= 0:
-                            break
-                        if gain <= gap and (best is None or gap - gain < best[0]):
-                            best = (gap - gain, b, [j, k])
-                if best is not None and best[0] == 0 or tried >= 48:
-                    return best and best[1:]
-        return best and best[1:]
+        size, most = self.sizes[i], self.capacity - self.fill[donor]
+        for room in range(size, min(self.capacity, size + most - 1) + 1):
+            own = self.swaps[room]
+            at = bisect_left(own, (room - most,)) if own else 0
+            while at < len(own) and own[at][0] < size:
+                _, b, *back = own[at]
+                if b != donor:
+                    items = {self.sizes[j]: j for j in self.items[b]}
+                    if len(back) == 2 and back[0] == back[1]:
+                        return b, [j for j in self.items[b] if self.sizes[j] == back[0]][:2]
+                    return b, [items[x] for x in back]
+                at += 1
+        return None
+
+    def _list(self, b: int, add: bool) -> None:
+        """Put a bin's swaps into the index or take them out: (size, bin, sizes) of one or two items, by the room without them."""
+        gap = self.capacity - self.fill[b]
+        if not gap:
+            return
+        n = Counter(self.sizes[j] for j in self.items[b])
+        own = sorted(n)
+        back = [(x,) for x in own] + [(x, y) for k, x in enumerate(own) for y in own[k if n[x] > 1 else k + 1 :]]
+        for x in back:
+            at = self.swaps[gap + sum(x)]
+            if add:
+                insort(at, (sum(x), b, *x))
+            else:
+                at.pop(bisect_left(at, (sum(x), b, *x)))
 
     def _shift(self, holders: dict[int, set[int]], a: int, b: int, give: list[int], back: list[int]) -> None:
         for x in (a, b):
+            self._list(x, False)
             holders[gap := self.capacity - self.fill[x]].discard(x)
             if not holders[gap]:
                 del holders[gap]
@@ -279,6 +289,7 @@ class Bins:
                 self.fill[src] -= self.sizes[i]
                 self.fill[dst] += self.sizes[i]
         for x in (a, b):
+            self._list(x, True)
             if self.items[x] and self.fill[x] < self.capacity:
                 holders.setdefault(self.capacity - self.fill[x], set()).add(x)
 
