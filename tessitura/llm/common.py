@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +49,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Plans made meanwhile send Python so many rows at once at most: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """Plans made meanwhile send Python so many rows and about so many bytes at once at most: texts may be long."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in most}
+    for k, v in most.items():
+        spark.conf.set(k, str(v))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -66,6 +70,17 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sums_of(parts: DataFrame, kind: type) -> Iterator[tuple[int, np.ndarray]]:
+    """(at, sum) of parts (at long, part binary): arrays of equal kind and length, added up on executors."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=kind) for x in t.column(1).to_pylist())
+        return pa.table({"at": t.column(0)[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    for r in parts.groupBy("at").applyInArrow(add, "at long, part binary").toLocalIterator():
+        yield r["at"], np.frombuffer(r["part"], dtype=kind)
+
+
 @atexit.register
 def clear() -> None:
     """Remove the tables that this process wrote to the shared folder."""

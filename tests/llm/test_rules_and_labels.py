@@ -1,5 +1,6 @@
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessitura.llm import langid, quality_classifier, quality_rules, votes
@@ -61,30 +62,54 @@ def test_language_on_odd_rows(docs, edge, nothing):
     assert none[0] == [] and {r.lang_pred for r in langid.predict(edge, none).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
+def plain_sum(w, prob, names):
+    """Sum over all segmentations, longest prefix last."""
+    alpha = [1.0] + [0.0] * len(w)
+    for i in range(len(w)):
+        for j in range(i + 1, len(w) + 1):
+            if w[i:j] in names:
+                alpha[j] += alpha[i] * prob[names[w[i:j]]]
+    return alpha[-1]
+
+
+@pytest.fixture(scope="module")
+def lattice_case():
     p = langid.pieces(langid.public_tokenizers.path(langid.VOCABULARY))
-    rng = np.random.default_rng(2)
-    prob = rng.random((p.size, 2)) / p.size
-    prob[0] = 0
-    words = [b"the", b"thing", b"\xc3\xa9t\xc3\xa9"]
+    prob = np.random.default_rng(2).random((p.size, 2)) / p.size
+    longest = max(p.names, key=len)
+    words = [b"the", b"thing", b"\xc3\xa9t\xc3\xa9", b"x", max((n for n in p.names if n[:1] != b" "), key=len), b"a" + longest.strip() + b"ing", b"International" * 4]
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
-    text, lens, order = langid._matrix(data, ends - [len(w) for w in words], ends)
-    alpha = langid.forward(p, prob, text, lens)
-    names = {n: i for i, n in enumerate(p.names, 1)}
+    return p, prob, words, data, ends - [len(w) for w in words], ends, {n: i for i, n in enumerate(p.names, 1)}
 
-    def plain(w, k):
-        if not w:
-            return 1.0
-        return sum(prob[names[w[:n]], k] * plain(w[n:], k) for n in range(1, langid.LONGEST_PIECE + 1) if len(w) >= n and w[:n] in names)
 
-    for col, i in enumerate(order):
+def test_forward_sums_all_segmentations(lattice_case):
+    p, prob, words, data, starts, ends, names = lattice_case
+    logs = langid.word_logs(p, np.log(prob), data, starts, ends)
+    for i, w in enumerate(words):
         for k in range(2):
-            assert np.isclose(alpha[lens[col], col, k], plain(b" " + words[i], k))
-    counts = langid.expected(p, prob, text, lens, np.zeros(3, np.int64), np.ones(3))
-    sizes = np.array([0, *map(len, p.names)])
-    assert np.isclose((counts[:, 0] * sizes).sum(), sum(len(w) + 1 for w in words))
+            assert logs[i, k] == pytest.approx(np.log(plain_sum(b" " + w.lower(), prob[:, k], names)), rel=1e-9)
+
 
+def test_expected_counts_are_derivatives_of_the_log_sum(lattice_case):
+    p, prob, words, data, starts, ends, names = lattice_case
+    got = langid.expected(p, np.log(prob), data, starts[3:6], ends[3:6], np.zeros(3, np.int64), np.ones(3))[:, 0]
+    for piece in (b" ", b"x", b"a", b"i"):
+        up = prob[:, 0].copy()
+        up[names[piece]] *= 1 + 1e-6
+        rise = sum(np.log(plain_sum(b" " + w.lower(), up, names) / plain_sum(b" " + w.lower(), prob[:, 0], names)) for w in words[3:6])
+        assert got[names[piece]] == pytest.approx(rise / 1e-6, rel=1e-3, abs=1e-6)
+
+
+def test_rare_pieces_and_long_words_do_not_underflow():
+    p = langid.pieces(langid.public_tokenizers.path(langid.VOCABULARY))
+    prob = np.full((p.size, 2), 0.05 / 1e12)
+    prob[p.names.index(b"e") + 1, 0] = 1e-3
+    word = bytes(range(128, 192)) * 400 + b"e"
+    logs = langid.word_logs(p, np.log(prob), np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+    assert np.isfinite(logs).all() and logs[0, 0] > logs[0, 1]
+    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+    assert 0 <= 1 / odds.sum() <= 1
 
 def test_classifier_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"  # the smallest table has too few labels to learn from
