@@ -6,18 +6,21 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HASHES = 4
-#: 2 MB, whatever the data: more keys make a filter less selective, never wrong.
-BITS = 1 << 24
+#: Filters have 8 bits a key, 2 MB at least and 64 MB at most, whatever the data: more keys make a filter less selective, never wrong.
+BITS, MOST_BITS = 1 << 24, 1 << 29
 CHUNK_BYTES = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bits_for(keys: int) -> int:
+    return min(MOST_BITS, max(BITS, 1 << (8 * keys).bit_length()))
+
+
 def _places(h: np.ndarray, n_bits: int) -> Iterator[np.ndarray]:
     h = h.astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
@@ -48,12 +51,12 @@ def build(hashes: DataFrame, n_bits: int = BITS) -> np.ndarray:
         own = [(i, c.tobytes()) for i in range(0, len(raw), CHUNK_BYTES) if (c := raw[i : i + CHUNK_BYTES]).any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([c for _, c in own], pa.binary())], ["at", "bits"])
 
-    def either(part: pd.DataFrame) -> pd.DataFrame:
-        bits = reduce(np.bitwise_or, (np.frombuffer(x, dtype=np.uint8) for x in part["bits"]))
-        return pd.DataFrame({"at": part["at"][:1], "bits": [bits.tobytes()]})
+    def either(part: pa.Table) -> pa.Table:
+        bits = reduce(np.bitwise_or, (np.frombuffer(x, dtype=np.uint8) for x in part.column("bits").to_pylist()))
+        return pa.table({"at": part.column("at")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
     whole = np.zeros(n_bits // 8, dtype=np.uint8)
-    for r in hashes.mapInArrow(fill, "at long, bits binary").groupBy("at").applyInPandas(either, "at long, bits binary").toLocalIterator():
+    for r in hashes.mapInArrow(fill, "at long, bits binary").groupBy("at").applyInArrow(either, "at long, bits binary").toLocalIterator():
         whole[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
     return whole
 

@@ -18,18 +18,25 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
-SLICE = 1 << 19
+SLICE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
 def _pow(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, SLICE + 1), base & (2**64 - 1), dtype=np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            np.cumprod(p, out=p)
+    if base in _powers and len(_powers[base]) >= n:
+        return _powers[base][:n]
+    p = np.full(max(n, SLICE + 1), base & (2**64 - 1), dtype=np.uint64)
+    p[0] = 1
+    with np.errstate(over="ignore"):
+        np.cumprod(p, out=p)
+    if n <= SLICE + 1:  # those of a longer text are made for it alone
         _powers[base] = p
-    return _powers[base][:n]
+    return p[:n]
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the base, or of its inverse."""
+    return _pow(INVERSE if inverse else BASE, n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,6 +65,8 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tu
     release()
 
 
+#: Arrow's buffers come from malloc too, so that one call gives back all that is free.
+pa.set_memory_pool(pa.system_memory_pool())
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

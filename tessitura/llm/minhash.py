@@ -14,14 +14,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.llm import bloom, bytescan
-from tessitura.llm.common import store, table
+from tessitura.llm.common import store, sums_of, table
 from tessitura.llm.components import components
 
 COORDS = 48
@@ -124,14 +123,11 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
         for b in batches:
             total += np.bincount((_tokens(b.column(0)).ravel() >> U(46)).astype(np.int64), minlength=COUNTERS)
         at = list(range(0, COUNTERS, step))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[a : a + step].tobytes() for a in at], pa.binary())], ["at", "n"])
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": part["at"][:1], "n": [sum(np.frombuffer(x, dtype=np.int64) for x in part["n"]).tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[a : a + step].tobytes() for a in at], pa.binary())], ["at", "part"])
 
     out = np.zeros(COUNTERS, dtype=np.int64)
-    for r in classes.select("sig").mapInArrow(count, "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").toLocalIterator():
-        out[r["at"] : r["at"] + step] = np.frombuffer(r["n"], dtype=np.int64)
+    for at, n in sums_of(classes.select("sig").mapInArrow(count, "at long, part binary"), np.int64):
+        out[at : at + step] = n
     return out
 
 
@@ -292,12 +288,13 @@ def _dense(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
     items = sets.of(members.select("node").distinct())
     rows = _deal(members).join(items, "node")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node")
-        links = spanning(part["node"].to_numpy(), part["root"].to_numpy(), list(part["items"]), percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(part: pa.Table) -> pa.Table:
+        node, first = np.unique(part.column("node").to_numpy(), return_index=True)
+        items = part.column("items").take(pa.array(first)).combine_chunks()
+        links = spanning(node, part.column("root").to_numpy()[first], [x.values.to_numpy() for x in items], percent)
+        return pa.table({n: pa.array([x[i] for x in links], pa.int64()) for i, n in enumerate("ab")})
 
-    return rows.groupBy("token", "part").applyInPandas(run, "a long, b long")
+    return rows.groupBy("token", "part").applyInArrow(run, "a long, b long")
 
 
 def _deal(lists: DataFrame) -> DataFrame:

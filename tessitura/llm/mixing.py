@@ -11,17 +11,17 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import WORD, store, table
 
 MOST_PATTERNS = 200_000
-#: Patterns of so many documents at most are selected by exact subset sums as a whole. Larger ones are selected by order;
-#: the same sums over half as many taken and half as many other documents of theirs then close the gap.
-FEW_DOCUMENTS = 200
+#: Documents of a pattern, half of them taken and half not, whose subset sums close the gap that the selection in order leaves.
+POOL = 200
+#: Bits of one table of reachable sums; larger sums are counted in units.
+SUM_BITS = 1 << 22
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -51,11 +51,12 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict[str | None, float], co
     so the graph has one node for each pattern and source, one edge for each membership and `copies` edges into a pattern.
     """
     inn = {p: [0.0] * copies for p in capacity}
+    order = sorted(capacity, key=repr)
     flow: dict[tuple[tuple, str | None], float] = {}
     need = dict(quota)
     eps = 1e-9 * max(1.0, sum(quota.values()))
     members: dict[str | None, list[tuple]] = {}
-    for p in sorted(capacity, key=repr):
+    for p in order:
         for s in p:
             members.setdefault(s, []).append(p)
     for s in members:  # patterns of one source first use their free copy there: they have no other use
@@ -66,7 +67,7 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict[str | None, float], co
     while True:
         # Cheapest way from a pattern with room to each source with need: Dijkstra from patterns; a step back moves flow from one source to another.
         heap, best, came = [], {}, {}
-        for n, p in enumerate(sorted(capacity, key=repr)):
+        for n, p in enumerate(order):
             for c in range(copies):
                 if inn[p][c] < capacity[p] - eps:
                     heapq.heappush(heap, (float(c), n, ("p", p), None))
@@ -113,7 +114,11 @@ def nearest_subset(sizes: Sequence[int], due: int) -> list[bool]:
     """Which of sizes (in order of preference) to take, so that their sum is as near to due as any; the smaller of two equally near.
 
     Reachable sums are the bits of whole numbers, one for each prefix; going back, later sizes are left out where they can be.
+    Sums beyond SUM_BITS are counted in units of their SUM_BITS-th part, which puts the sum off by half a unit a size at most.
     """
+    unit = -(-sum(sizes) // SUM_BITS)
+    if unit > 1:
+        sizes, due = [(s + unit // 2) // unit for s in sizes], (due + unit // 2) // unit
     reach = [1]
     for s in sizes:
         reach.append(reach[-1] | reach[-1] << s)
@@ -133,11 +138,11 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
 
     sources: an array of the sources of a row, null among them allowed; null or empty arrays stand for the null source.
     size: tokens of a row, as long. Each row of docs gives one row; rows with equal doc_id are documents of their own,
-    taken alike unless their sizes differ. taken is a multiple of size, `copies` times at most; rows of size 0 take 0.
-    A pattern's selection follows a seeded hash: the documents that fit are passed in order until none fits what is left
-    (a long one that nothing can be exchanged for is set apart first); then taken and other documents are exchanged for a sum nearest to what is due. Patterns of FEW_DOCUMENTS or less are
-    selected by nearest_subset alone. An empty table gives no rows. More than MOST_PATTERNS membership patterns are refused before anything is
-    gathered: they are what the driver holds.
+    selected one by one. taken is a multiple of size, `copies` times at most; rows of size 0 take 0. A pattern's selection
+    follows a seeded hash: the documents that fit are passed in order until none fits what is left (a long one that nothing
+    can be exchanged for is set apart first); then taken and other documents are exchanged for a sum nearest to what is due
+    (nearest_subset; a pattern of POOL / 2 documents or fewer is chosen from as a whole). An empty table gives no rows. More
+    than MOST_PATTERNS membership patterns are refused before anything is gathered: they are what the driver holds.
     """
     spark = docs.sparkSession
     set_of = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array()), lambda s: F.struct(s.isNull().alias("none"), s.alias("name")))))
@@ -162,22 +167,13 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
     most = max((r["n"] for r in found), default=1)
     buckets = max(64, most // 20_000)
     plan = spark.createDataFrame(
-        [(r["pattern"], int(due[p := tuple(r["sources"])] // capacity[p]) if capacity[p] else 0, int(round(due[p] % capacity[p])) if capacity[p] else 0, [sizes[s] for s in p], [float(quota[s]) for s in p], r["n"] <= FEW_DOCUMENTS) for r in found],
-        "pattern long, whole int, rest long, source_size array<long>, target array<double>, few boolean",
+        [(r["pattern"], int(due[p := tuple(r["sources"])] // capacity[p]) if capacity[p] else 0, int(round(due[p] % capacity[p])) if capacity[p] else 0, [sizes[s] for s in p], [float(quota[s]) for s in p]) for r in found],
+        "pattern long, whole int, rest long, source_size array<long>, target array<double>",
     )
     # Seeded order in two steps, so that no source meets in one task: sums of hash buckets, then the order within a bucket.
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
     keyed = rows.withColumns({"order": order, "bucket": F.pmod(F.shiftrightunsigned(order, 8), F.lit(buckets)).cast("int")})
-    keyed = keyed.join(F.broadcast(plan.select("pattern", "whole", "rest", "few")), "pattern")  # plan: MOST_PATTERNS rows at most
-
-    def subset(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["order", "row_no"])
-        return pd.DataFrame({"row_no": part["row_no"], "more": np.array(nearest_subset(part["size"].tolist(), int(part["rest"].iloc[0])), dtype=np.int32)})
-
-    few = keyed.filter("few")
-    picked = few.select("pattern", "row_no", "order", "size", "rest").groupBy("pattern").applyInPandas(subset, "row_no long, more int")
-    few = few.join(picked, "row_no")
-    many = keyed.filter("not few")
+    keyed = keyed.join(F.broadcast(plan.select("pattern", "whole", "rest")), "pattern")  # plan: MOST_PATTERNS rows at most
 
     def passed(left: DataFrame) -> DataFrame:
         """left (row_no, pattern, bucket, order, doc_id, size, gap) with `fits`: in order, up to the first that goes beyond the gap."""
@@ -188,12 +184,12 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
         return store(left.join(before, ["pattern", "bucket"]).withColumn("fits", up_to <= F.col("gap")).drop("base"), "pass")
 
     def in_order(reserved: DataFrame) -> DataFrame:
-        """many with `more`: the reserved documents (pattern, row_no, size), then all that fit, in passes until none does.
+        """keyed with `more`: the reserved documents (pattern, row_no, size), then all that fit, in passes until none does.
 
         Each pass takes one document of each pattern at least, and what it stops at no longer fits: what is left shrinks with the gap.
         """
         held = reserved.groupBy("pattern").agg(F.sum("size").alias("held"))
-        left = many.join(F.broadcast(held), "pattern", "left").withColumn("gap", F.col("rest") - F.coalesce("held", F.lit(0))).join(reserved.select("row_no"), "row_no", "left_anti")
+        left = keyed.join(F.broadcast(held), "pattern", "left").withColumn("gap", F.col("rest") - F.coalesce("held", F.lit(0))).join(reserved.select("row_no"), "row_no", "left_anti")
         left = left.filter("size > 0 and size <= gap").select("row_no", "pattern", "bucket", "order", "doc_id", "size", "gap")
         taken = reserved.select("row_no")
         while not left.isEmpty():
@@ -201,7 +197,7 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
             taken = taken.unionByName(now.filter("fits").select("row_no"))
             gap = now.groupBy("pattern").agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
             left = now.filter("not fits").drop("fits", "gap").join(F.broadcast(gap), "pattern").filter("size <= gap")
-        return store(many.join(taken.withColumn("more", F.lit(1)), "row_no", "left").fillna(0, ["more"]), "passed")
+        return store(keyed.join(taken.withColumn("more", F.lit(1)), "row_no", "left").fillna(0, ["more"]), "passed")
 
     reserved = spark.createDataFrame([], "pattern long, row_no long, size long")
     while True:
@@ -209,7 +205,7 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
         gap = filled.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")).filter("gap > 0")
         pool = filled.filter("size > 0").join(F.broadcast(gap), "pattern").select("pattern", "bucket", "row_no", "order", "size", "more", "gap", "rest")
         for by in (["pattern", "more", "bucket"], ["pattern", "more"]):  # the first of each bucket, then the first of those
-            pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("order", "row_no"))).filter(F.col("rank") <= FEW_DOCUMENTS // 2).drop("rank")
+            pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("order", "row_no"))).filter(F.col("rank") <= POOL // 2).drop("rank")
         pool = store(pool, "pool")
         # A document too long to be exchanged for those of the pool is set apart, and the others are passed again.
         give = pool.groupBy("pattern").agg(F.first("rest").alias("rest"), (F.first("gap") + F.sum(F.col("size") * F.col("more"))).alias("give"))
@@ -221,15 +217,14 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
             break
         reserved = reserved.unionByName(apart)
 
-    def exchange(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["more", "order", "row_no"], ascending=[False, True, True])
-        due = int(part["gap"].iloc[0] + (part["size"] * part["more"]).sum())
-        return pd.DataFrame({"row_no": part["row_no"], "new": np.array(nearest_subset(part["size"].tolist(), due), dtype=np.int32)})
+    def exchange(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("more", "descending"), ("order", "ascending"), ("row_no", "ascending")])
+        size, more = part.column("size").to_numpy(), part.column("more").to_numpy()
+        take = nearest_subset(size.tolist(), part.column("gap")[0].as_py() + int((size * more).sum()))
+        return pa.table({"row_no": part.column("row_no"), "new": pa.array(take).cast(pa.int32())})
 
-    new = pool.drop("bucket", "rest").groupBy("pattern").applyInPandas(exchange, "row_no long, new int")
-    many = filled.join(new, "row_no", "left").withColumn("more", F.coalesce("new", "more"))
-    cols = ["doc_id", "size", "sources", "pattern", "whole", "more"]
-    chosen = store(many.select(cols).unionByName(few.select(cols)), "chosen")
+    new = pool.drop("bucket", "rest").groupBy("pattern").applyInArrow(exchange, "row_no long, new int")
+    chosen = filled.join(new, "row_no", "left").withColumn("more", F.coalesce("new", "more"))
     out = chosen.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern")
     times = F.least(F.lit(copies), F.col("whole") + F.col("more"))
     return out.select("doc_id", "size", "sources", "source_size", "target", (F.col("size") * times).alias("taken"), F.when(F.col("size") > 0, times).otherwise(0).alias("times"))

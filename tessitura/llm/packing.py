@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,17 +26,25 @@ from tessitura.llm.common import store, table
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 GROUP_ITEMS = 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 LONGEST_CACHED = 64
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, row_no long"
 
 
+#: Texts on which encoding by runs must equal encoding as a whole.
+PROBES = (
+    "The cat's  sat,\n\non THE mat... it's (really) 3.14 o'clock!", "\u00c9t\u00e9 na\u00efve \u00fcber stra\u00dfe \u00d7 \u00f7", " a\tb\x0bc\x0cd\re ", "x\x85y z\u00a0w \u2003 v",
+    "\u65e5\u672c\u8a9e \u30c6\u30b9\u30c8 \u0e44\u0e17\u0e22 \ud55c\uad6d\uc5b4 e\u0301 \u200d \U0001f600!!", "http://a.b/c?d=e&f=%20 <tag/> {x: [1, 2]} a_b a-b --", "\u0130I\u0131 \ufb01 \u1e9e",
+)
+
+
 class Encoder:
     """Token ids of whole slices of texts, by runs between ASCII white space, with a bounded cache of runs.
 
-    This vocabulary drops white space, never joins characters across it or between letters and signs, folds case, and ends
-    each word with a piece that ends no other place. So a text's ids are its runs' ids in order, a run's those of its stem and
-    of the signs after it; only a slice's distinct runs are looked up, and words can be encoded many at a time and told apart.
+    A vocabulary of words drops white space, never joins characters across it or between letters and signs, folds case, and
+    ends each word with a piece that ends no other place. So a text's ids are its runs' ids in order, a run's those of its stem
+    and of the signs after it; only a slice's distinct runs are looked up, and words can be encoded many at a time and told
+    apart. Whether a vocabulary is of this kind is seen in its file and tried on PROBES; texts are encoded whole by any other.
     """
 
     def __init__(self, path: str):
@@ -47,20 +54,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # The same pieces and merges without normaliser: for words of letters that are folded already.
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())["model"]
+        self.by_runs = parts["type"] == "BPE" and parts.get("end_of_word_suffix") == "</w>"
+        if not self.by_runs:
+            return
         self.bare = Tokenizer(BPE(parts["vocab"], [tuple(m) for m in parts["merges"]], end_of_word_suffix=parts["end_of_word_suffix"], cache_capacity=0))
         self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        raw = [p.encode() for p in PROBES]
+        ids, at = self.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.by_runs = all(np.array_equal(ids[x:y], self.tokenizer.encode(p, add_special_tokens=False).ids) for p, x, y in zip(PROBES, at, at[1:], strict=False))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
         low = bytescan.TO_LOWER[data]
         raw = low.tobytes()
-        if any(t in raw for t in self.special):  # in any case: strings of special tokens must be seen as they stand
+        if not self.by_runs or any(t in raw for t in self.special):  # in any case: strings of special tokens must be seen as they stand
             texts = [data[x:y].tobytes().decode() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
@@ -168,6 +181,8 @@ def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id
                         crc.append(zlib.crc32(raw[4 * z : 4 * end]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, range(n, n + len(row))))], ["doc_id", "piece", "start", "length", "ids_crc32", "row_no"])
                 n += len(row)
+        enc.known.clear()  # an idle worker keeps nothing
+        bytescan.release()
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
@@ -203,12 +218,11 @@ class Bins:
                     insort(rooms, room)
                 by_room[room].append(b)
 
-    def improve(self, steps: int) -> None:
+    def improve(self) -> None:
         """Local search: while a step raises the sum of squared fills, fill the fuller underfull bins from the emptier ones.
 
         Donors are taken from the emptiest up; each gives whole items (a move), one item for a smaller one, or one for two
-        smaller ones. Every step moves tokens from a bin to one at least as full, so squared fill grows and the search ends;
-        `steps` bounds the exchanges tried and grows with the items.
+        smaller ones. Every step moves tokens from a bin to one at least as full, so squared fill grows and the search ends.
         """
         sizes, fill, items, cap = self.sizes, self.fill, self.items, self.capacity
         under = [b for b in range(len(items)) if fill[b] < cap]
@@ -218,15 +232,14 @@ class Bins:
         self.swaps: list[list[tuple[int, ...]]] = [[] for _ in range(cap + 1)]
         for b in under:
             self._list(b, True)
-        left, changed = steps, True
-        while changed and left > 0:  # an exchange between fuller bins may make room for what found none before
+        changed = True
+        while changed:  # an exchange between fuller bins may make room for what found none before
             changed = False
             for donor in sorted((b for b in under if items[b] and fill[b] < cap), key=lambda b: (fill[b], b)):
                 again = True
-                while again and items[donor] and fill[donor] < cap and left > 0:
+                while again and items[donor] and fill[donor] < cap:
                     again = False
                     for i in sorted(items[donor], key=lambda i: (-sizes[i], i)):
-                        left -= 1
                         if (to := self._room(holders, donor, sizes[i])) is not None:  # a move
                             self._shift(holders, donor, to, [i], [])
                         elif (found := self._exchange(holders, donor, i)) is not None:
@@ -294,12 +307,12 @@ class Bins:
                 holders.setdefault(self.capacity - self.fill[x], set()).add(x)
 
 
-def pack_sizes(sizes: list[int], capacity: int = CAPACITY, effort: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each size; bins from 0 without gaps. Sizes are 1 to capacity."""
     bins = Bins(sizes, capacity)
     bins.best_fit()
     if len(sizes) > 1:
-        bins.improve(effort * len(sizes))
+        bins.improve()
     where, offset, n = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
     for own in bins.items:
         at = 0
@@ -319,14 +332,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     short = pieces.filter(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_items))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_no")
-        where, offset = pack_sizes(part["length"].tolist(), capacity)
-        return part.assign(sequence_id=(part["__group"].to_numpy() << 32) + where, offset=offset).drop(columns="__group")
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("row_no")
+        where, offset = pack_sizes(part.column("length").to_pylist(), capacity)
+        where += part.column("__group")[0].as_py() << 32
+        return part.drop_columns("__group").append_column("sequence_id", pa.array(where)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    # The id may be null or of any type: it stays a value that pandas only carries.
-    packed = short.withColumn("__group", F.pmod(F.xxhash64("row_no"), F.lit(groups))).groupBy("__group").applyInPandas(run, schema)
+    packed = short.withColumn("__group", F.pmod(F.xxhash64("row_no"), F.lit(groups))).groupBy("__group").applyInArrow(run, schema)
     whole = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -F.col("row_no") - 1, "offset": F.lit(0).cast("long")})
     return whole.unionByName(packed)
 
@@ -337,14 +350,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts are one token, end_id. Repeated rows are packed each. Null ids stay null. Other columns are ignored.
     """
     pieces = store(tokenise(docs, doc_id, text, end_id, capacity, path), "pieces")
-    ids = pieces.select("row_no", "length")
-    placed = store(pack(ids, capacity), "packed") if pieces.schema["doc_id"].dataType.simpleString() != "bigint" else None
-    if placed is None:
-        some = pieces.withColumns({"null_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})  # pandas has no null long
-        out = pack(some, capacity).withColumn("doc_id", F.when(~F.col("null_id"), F.col("doc_id")))
-    else:
-        out = pieces.join(placed.drop("length"), "row_no")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

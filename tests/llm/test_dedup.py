@@ -159,6 +159,53 @@ def test_passages_around_different_text(spark, between):
         assert abs(a) <= 4 and abs(b - 60) <= 4 and abs(c - 60 - between) <= 4 and abs(d - 120 - between) <= 4
 
 
+def test_passage_of_which_all_parts_are_frequent(spark):
+    """Two texts share 60 words; 300 others hold 30 to 45 of those words each, so that no short seed leads from one to the other."""
+    shared = _prose(60, 7)
+    rows = [(i, [*_prose(40, 100 + i), *shared, *_prose(40, 200 + i)]) for i in (0, 900)]
+    for i in range(1, 301):
+        n = 30 + i % 16
+        at = i * 7 % (61 - n)
+        rows.append((i, [*_prose(30, 1000 + i), *shared[at : at + n], *_prose(30, 2000 + i)]))
+    got = {r.doc_id: r for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    for i in (0, 900):
+        assert got[i].start_word <= 42 and got[i].end_word >= 98
+
+
+def test_every_exact_repeat_is_found(spark, sf, texts):
+    """Brute force: all windows of 50 words that two texts share lie within the rows of both. By the query itself."""
+    words = {i: brute.WORD.findall(r.text or "") for i, r in texts.items()}
+    holders = defaultdict(set)
+    for i, w in words.items():
+        for p in range(len(w) - 49):
+            holders[tuple(w[p : p + 50])].add(i)
+    got = defaultdict(list)
+    for r in substring.op6_substring_dedup(spark, sf).collect():
+        got[r.doc_id].append((r.start_word, r.end_word))
+        assert r.end_word - r.start_word >= 50 and r.identity >= 0.8
+    seen = covered = 0
+    for i, w in words.items():
+        for p in range(len(w) - 49):
+            if len(holders[tuple(w[p : p + 50])]) > 1:
+                seen += 50
+                covered += max((max(0, min(b, p + 50) - max(a, p)) for a, b in got[i]), default=0)
+                assert any(b - max(a, p) >= 40 and min(b, p + 50) - a >= 40 for a, b in got[i])
+    assert seen and covered >= 0.995 * seen
+
+
+def test_recall_of_changed_passages(spark):
+    """60 pairs of texts, each with a passage of 60 words of which every tenth on average is changed: the figure of the README."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        shared = _prose(60, 5000 + i)
+        other = [f"changed{i}x{j}" if rng.random() < 0.1 else w for j, w in enumerate(shared)]
+        rows += [(2 * i, " ".join([*_prose(50, 6000 + i), *shared])), (2 * i + 1, " ".join([*_prose(70, 7000 + i), *other]))]
+    got = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("recall of changed passages", len(got) / 120)
+    assert len(got) >= 0.8 * 120
+
+
 def test_parts_of_a_chain():
     rng = np.random.default_rng(5)
     for _ in range(50):
