@@ -17,18 +17,26 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can be told, by a model of the stage's own rows with a language. Stored, for small batches to Python."""
+    """Texts whose language can be told, by a model of the stage's own rows with a language.
+
+    Null and empty texts and texts without a letter go. Repeated rows stay or go together, very long texts are read whole, and
+    without any row that has a language (an empty table, say) nothing stays. Stored, for small batches to Python.
+    """
     judged = langid.predict(docs, langid.train(docs))
     return store(judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns), "language")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text: that with the least doc_id."""
+    """One row of each text: that with the least doc_id, null ids last; of repeated rows one. Null counts as empty text."""
     return exact.exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): that with the least doc_id."""
+    """One document of each group of near copies (five words, similarity 0.8): that with the least doc_id, null ids last.
+
+    Rows without words are near nothing and stay. Repeated rows, and rows of one id and text, stay or go together. Rows that
+    go are told by id and text.
+    """
     rows = store(minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "dropped")
     dropped = bloom.probe(spark, bloom.build(rows.select("__text")))
     marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__maybe", dropped(F.col("__text")))
@@ -38,15 +46,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: weights 5, 2, 1 over 150 % of all words, twice at most."""
-    mixed = mixing.mix(docs, "doc_id", mixing.word_count(), F.array("source"))
-    times = mixed.filter("times > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.element_at("sources", 1).alias("__source"), "times").distinct()
-    met = docs.withColumn("__n", mixing.word_count()).alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.__id")) & (F.col("d.__n") == F.col("t.__size")) & F.col("d.source").eqNullSafe(F.col("t.__source")))
-    return met.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy")).drop("__copy")
+    """Documents as often as the mix of sources takes them: weights 5, 2, 1 over 150 % of all words, twice at most.
+
+    Rows are told apart by all their columns; of rows that agree in all, which any mix takes alike, one stands for all with the
+    sum of their times. Texts without words (null, empty) count no words and are not taken. A null source is a source.
+    """
+    keyed = docs.withColumn("__key", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    mixed = mixing.mix(keyed, "__key", mixing.word_count(), F.array("source"))
+    times = mixed.groupBy("doc_id").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows")).filter("__times > 0").withColumnRenamed("doc_id", "__key")
+    met = keyed.join(times, "__key")
+    once = met.filter("__rows = 1").unionByName(met.filter("__rows > 1").dropDuplicates(["__key"]))
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Sequences of 2048 tokens: what pack_documents says of nulls, empty and long texts and repeated rows. Empty in, empty out."""
     return packing.pack_documents(docs)
 
 
