@@ -1,24 +1,25 @@
-"""Bloom filters of a fixed number of bits over long hashes: built on executors, joined by OR, used as a first sieve before joins."""
+"""Bloom filters of a bounded number of bits over long hashes, as arrays for Python tasks and as tables for joins: a first sieve, never the answer."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASHES = 4
 #: Filters have 8 bits a key, 2 MB at least and 64 MB at most, whatever the data: more keys make a filter less selective, never wrong.
 BITS, MOST_BITS = 1 << 24, 1 << 29
-CHUNK_BYTES = 1 << 16
+CHUNK_BYTES, CHUNK_WORDS = 1 << 16, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bits_for(keys: int) -> int:
-    return min(MOST_BITS, max(BITS, 1 << (8 * keys).bit_length()))
+def bits_for(keys: int, least: int = BITS) -> int:
+    return min(MOST_BITS, max(least, 1 << (8 * keys).bit_length()))
 
 
 def _places(h: np.ndarray, n_bits: int) -> Iterator[np.ndarray]:
@@ -61,12 +62,27 @@ def build(hashes: DataFrame, n_bits: int = BITS) -> np.ndarray:
     return whole
 
 
-def probe(spark: SparkSession, raw: np.ndarray) -> Callable[[Column], Column]:
-    """A function of a long column: whether the filter may hold it; false is certain."""
-    given = spark.sparkContext.broadcast(raw)  # BITS / 8 bytes
+@dataclass(frozen=True)
+class Sieve:
+    """A filter as a table for joins: chunk (long), words (CHUNK_WORDS longs); chunks 0 to n_bits / 64 / CHUNK_WORDS - 1, all of them."""
 
-    @F.arrow_udf("boolean")
-    def held(h: pa.Array) -> pa.Array:
-        return pa.array(may_hold(given.value, h.fill_null(0).to_numpy(zero_copy_only=False)))
+    chunks: DataFrame
+    n_bits: int
 
-    return held
+
+def sieve(keys: DataFrame) -> Sieve:
+    """The filter of the only column of keys (long) with one hash and 16 bits a key, made by DataFrame functions. keys is read twice."""
+    n_bits = bits_for(2 * keys.count(), 1 << 18)
+    place = F.col("h").bitwiseAND(F.lit(n_bits - 1))
+    own = keys.toDF("h").select(F.shiftright(place, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = keys.sparkSession.range(n_bits >> 6).join(own.groupBy("id").agg(F.bit_or("bit").alias("bits")), "id", "left")
+    chunks = words.groupBy(F.floor(F.col("id") / CHUNK_WORDS).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+    return Sieve(chunks.select("chunk", F.col("w.bits").alias("words")), n_bits)
+
+
+def mark(rows: DataFrame, h: Column, held: Sieve, into: str) -> DataFrame:
+    """Add boolean column `into`: whether the filter may hold h (long); false is certain. No Python worker is needed."""
+    place = h.bitwiseAND(F.lit(held.n_bits - 1))
+    chunks = F.broadcast(held.chunks.toDF("__chunk", "__words"))  # n_bits / 8 bytes, MOST_BITS / 8 at most
+    bit = F.getbit(F.get("__words", F.pmod(F.shiftright(place, 6), F.lit(CHUNK_WORDS)).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.join(chunks, F.floor(place / (64 * CHUNK_WORDS)) == F.col("__chunk"), "left").withColumn(into, F.coalesce(bit, F.lit(False))).drop("__chunk", "__words")

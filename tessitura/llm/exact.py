@@ -1,92 +1,121 @@
 """Exact dedup with a log-structured merge index of text digests.
 
-Memtables (a dictionary per task) flush sorted runs with Bloom filters; compaction merges the runs and keeps the extreme
-identifier of each digest; rows whose digest the filter of repeated digests may hold are looked up, and every hit is
-verified byte by byte against the text of the row that stays.
+Memtables flush sorted runs with Bloom filters; compaction merges the runs in order and keeps the extreme identifier of each
+digest, digests met again apart from those met once; rows whose digest the filter of the run of digests met again may hold
+are looked up there, and every hit is verified byte by byte against the text of the row that stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm import bloom
 from tessitura.llm.common import store, table
 
+
+@dataclass(frozen=True)
+class Run:
+    """A table of the log (digest, keep_id, n), sorted by digest within its files, and the filter that was flushed with it."""
+
+    table: DataFrame
+    held: bloom.Sieve
+
+
 class DigestLog:
     """The index: runs in tables of the shared folder. Digests are binary; identifiers are longs, null last in any order.
 
-    add(): a table (digest, id) through memtables into a new level-0 table of sorted runs. compact(): all tables into one.
-    lookup(): what the index has of other rows' digests. keep: "min" or "max", the identifier that stays.
+    add(): a table (digest, id) through memtables into a new level of sorted runs. compact(): all runs into two, of digests
+    met once and of digests met again. lookup(): what the index has of other rows' digests. keep: "min" or "max", the
+    identifier that stays.
     """
 
-    def __init__(self, spark: SparkSession, keep: str = "min", memtable_rows: int = 200_000):
+    def __init__(self, spark: SparkSession, keep: str = "min", memtable_rows: int = 100_000):
         if keep not in ("min", "max"):
             raise ValueError(f"keep is min or max, not {keep!r}")
         self.spark, self.keep, self.memtable_rows = spark, keep, memtable_rows
-        self.runs: list[DataFrame] = []
-        self.filters: list[np.ndarray | None] = []
+        self.runs: list[Run] = []
         self.compacted = False
 
+    def _flush(self, rows: DataFrame, label: str) -> Run:
+        run = store(rows, label)
+        return Run(run, bloom.sieve(run.select(F.xxhash64("digest"))))
+
     def add(self, rows: DataFrame) -> None:
-        """Flush rows (digest, id) as sorted runs: digest, keep_id, n; a filter of the whole table beside them."""
-        larger, most = self.keep == "max", self.memtable_rows
+        """Rows (digest, id) as sorted runs: a memtable takes rows until it is full, is sorted, and its equal digests become one row."""
+        most, larger = self.memtable_rows, self.keep == "max"
 
         def memtables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mem: dict[bytes, list] = {}
-
-            def flush() -> pa.RecordBatch:
-                run = sorted(mem.items())
-                mem.clear()
-                return pa.RecordBatch.from_arrays([pa.array([d for d, _ in run], pa.binary()), pa.array([x[0] for _, x in run], pa.int64()), pa.array([x[1] for _, x in run], pa.int64())], ["digest", "keep_id", "n"])
-
+            mem: list[pa.RecordBatch] = []
             for b in batches:
-                for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if (x := mem.get(d)) is None:
-                        mem[d] = [i, 1]
-                    else:
-                        x[1] += 1
-                        if i is not None and (x[0] is None or (i > x[0] if larger else i < x[0])):
-                            x[0] = i
-                    if len(mem) >= most:
-                        yield flush()
+                for i in range(0, b.num_rows, most):
+                    mem.append(pa.RecordBatch.from_arrays([b.column(0).slice(i, most), b.column(1).slice(i, most), pa.array(np.ones(min(most, b.num_rows - i), np.int64))], RUN))
+                    if sum(m.num_rows for m in mem) >= most:
+                        yield from _fold(pa.Table.from_batches(mem).sort_by("digest").to_batches(), larger)
+                        mem = []
             if mem:
-                yield flush()
+                yield from _fold(pa.Table.from_batches(mem).sort_by("digest").to_batches(), larger)
 
-        self.runs.append(store(rows.mapInArrow(memtables, "digest binary, keep_id long, n long"), "run"))
-        self.filters.append(None)
+        self.runs.append(self._flush(rows.mapInArrow(memtables, RUN_SCHEMA), "run"))
         self.compacted = False
 
-    def compact(self) -> DataFrame:
-        """Merge all runs into one, sorted within its files: of each digest the extreme identifier and the sum of rows."""
+    def compact(self) -> tuple[Run, Run]:
+        """Merge all runs: rows of one digest come together in sorted order, and a pass over them keeps one of each.
+
+        (digests met once, digests met again), each a run of its own with its filter.
+        """
         if not self.compacted:
-            both = reduce(DataFrame.unionByName, self.runs)
-            best = (F.max if self.keep == "max" else F.min)("keep_id").alias("keep_id")
-            self.runs = [store(both.groupBy("digest").agg(best, F.sum("n").alias("n")).sortWithinPartitions("digest"), "level")]
-            self.filters, self.compacted = [None], True
-        return self.runs[0]
-
-    def filter(self, i: int) -> np.ndarray:
-        """The filter of run i, made when it is first asked for."""
-        if self.filters[i] is None:
-            self.filters[i] = bloom.build(self.runs[i].select(F.xxhash64("digest")))
-        return self.filters[i]
+            larger = self.keep == "max"
+            both = reduce(DataFrame.unionByName, [r.table for r in self.runs]).select(*RUN)
+            merged = store(both.repartition("digest").sortWithinPartitions("digest").mapInArrow(lambda it: _fold(it, larger), RUN_SCHEMA), "merged")
+            self.runs = [Run(t, bloom.sieve(t.select(F.xxhash64("digest")))) for t in (merged.filter("n = 1"), merged.filter("n > 1"))]
+            self.compacted = True
+        return self.runs[0], self.runs[1]
 
     def lookup(self, rows: DataFrame) -> DataFrame:
         """rows (with a column digest) and keep_id, n of the index, null where it has none. Rows that no run's filter may hold skip the join."""
-        maybe = reduce(lambda a, b: a | b, [bloom.probe(self.spark, self.filter(i))(F.xxhash64("digest")) for i in range(len(self.runs))])
-        marked = rows.withColumn("__maybe", maybe)
-        found = reduce(DataFrame.unionByName, self.runs).groupBy("digest").agg((F.max if self.keep == "max" else F.min)("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        marked = rows.withColumn("__maybe", F.lit(False))
+        for r in self.runs:
+            marked = bloom.mark(marked, F.xxhash64("digest"), r.held, "__now").withColumn("__maybe", F.col("__maybe") | F.col("__now")).drop("__now")
+        found = reduce(DataFrame.unionByName, [r.table for r in self.runs]).groupBy("digest").agg((F.max if self.keep == "max" else F.min)("keep_id").alias("keep_id"), F.sum("n").alias("n"))
         none = {"keep_id": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}
         return marked.filter("__maybe").join(found, "digest", "left").unionByName(marked.filter("not __maybe").withColumns(none)).drop("__maybe")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", digest: Column | None = None, salts: int = 32, hot_rows: int = 1_000, memtable_rows: int = 200_000) -> DataFrame:
+RUN, RUN_SCHEMA = ["digest", "keep_id", "n"], "digest binary, keep_id long, n long"
+
+
+def _fold(batches: Iterable[pa.RecordBatch], larger: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, keep_id, n) sorted by digest, with the rows of each digest made one: its extreme identifier and the sum of n."""
+    carry: pa.RecordBatch | None = None  # the last digest so far, which may go on
+    for b in batches:
+        if carry is not None:
+            b = pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        d = b.column(0)
+        new = np.append(True, pc.not_equal(d.slice(1), d.slice(0, len(d) - 1)).to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(new)
+        keep = b.column(1)
+        worst = np.iinfo(np.int64).min if larger else np.iinfo(np.int64).max
+        ids = keep.fill_null(worst).to_numpy(zero_copy_only=False)
+        best = (np.maximum if larger else np.minimum).reduceat(ids, at)
+        some = np.add.reduceat(keep.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), at) > 0
+        folded = pa.RecordBatch.from_arrays([d.take(pa.array(at)), pa.array(best, pa.int64(), mask=~some), pa.array(np.add.reduceat(b.column(2).to_numpy(), at))], RUN)
+        carry = folded.slice(folded.num_rows - 1)
+        yield folded.slice(0, folded.num_rows - 1)
+    if carry is not None:
+        yield carry
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min", digest: Column | None = None, salts: int = 32, hot_rows: int = 1_000, memtable_rows: int = 100_000) -> DataFrame:
     """Add keep_id, group_size, kept, digest (binary) to every row of docs.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the least (keep="max": the
@@ -105,10 +134,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
 
     log = DigestLog(spark, keep, memtable_rows)
     log.add(rows.select("digest", "id"))
-    index = log.compact()
-    total = index.agg(F.sum("n")).first()[0] or 0
+    once, again = log.compact()
+    total = once.table.count() + (again.table.agg(F.sum("n")).first()[0] or 0)
     least = max(hot_rows, total // 1000)
-    hot = [bytes(r["digest"]) for r in index.filter(F.col("n") > least).select("digest").collect()]  # a thousand at most
+    hot = [bytes(r["digest"]) for r in again.table.filter(F.col("n") > least).select("digest").collect()]  # a thousand at most
     zero = F.lit(0).cast("long")
     if hot:
         salt_of = lambda d, i: F.when(d.isin(hot), F.pmod(F.xxhash64(i), F.lit(salts).cast("long"))).otherwise(zero)
@@ -116,10 +145,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     else:
         salt_of, all_salts = (lambda d, i: zero), (lambda d: zero)
 
-    repeated = bloom.build(index.filter("n > 1").select(F.xxhash64("digest")))
-    marked = rows.withColumn("maybe", bloom.probe(spark, repeated)(F.xxhash64("digest")))
+    marked = bloom.mark(rows, F.xxhash64("digest"), again.held, "maybe")
     single = marked.filter(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    twice = index.filter("n > 1").select("digest", "keep_id", "n")
+    twice = again.table.select("digest", "keep_id", "n")
     met = (
         marked.filter("maybe").withColumn("salt", salt_of(F.col("digest"), F.col("id")))
         .join(twice.withColumn("salt", all_salts(F.col("digest"))), ["digest", "salt"], "left")

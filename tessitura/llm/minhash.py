@@ -163,10 +163,10 @@ class Sets:
         self.docs, self.k, self.classes = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), k, classes
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, items) of distinct nodes. A filter of fixed size keeps other texts out of the shuffle."""
+        """(node, items) of distinct nodes. A filter keeps other texts out of the shuffle."""
         need = store(nodes.join(self.classes.select("node", "low", "fp"), "node"), "need")
-        near = bloom.probe(nodes.sparkSession, bloom.build(need.select(F.xxhash64("low"))))
-        some = self.docs.filter(near(F.xxhash64("id")))
+        near = bloom.sieve(need.select(F.xxhash64("low")))
+        some = bloom.mark(self.docs, F.xxhash64("id"), near, "near").filter("near").drop("near")
         keys = need.select("low").distinct()
         rows = some.join(keys, some["id"].eqNullSafe(keys["low"]), "left_semi").withColumn("set", full_set(self.k)("text")).select("id", "set.fp", "set.items")
         at = rows.join(need.withColumnRenamed("fp", "its"), rows["id"].eqNullSafe(need["low"]) & (rows["fp"] == F.col("its")))
