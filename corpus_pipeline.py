@@ -38,8 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go are told by id and text.
     """
     rows = store(minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "dropped")
-    dropped = bloom.probe(spark, bloom.build(rows.select("__text")))
-    marked = docs.withColumn("__text", F.xxhash64("text")).withColumn("__maybe", dropped(F.col("__text")))
+    marked = bloom.mark(docs.withColumn("__text", F.xxhash64("text")), F.col("__text"), bloom.sieve(rows.select("__text")), "__maybe")
     some = marked.filter("__maybe").alias("d")
     kept = some.join(rows.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.__id")) & (F.col("d.__text") == F.col("r.__text")), "left_anti")
     return marked.filter("not __maybe").select(*docs.columns).unionByName(kept.select(*docs.columns))
