@@ -18,7 +18,7 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
-SLICE = 1 << 18
+SLICE = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 

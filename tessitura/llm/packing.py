@@ -162,7 +162,7 @@ def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         n = TaskContext.get().partitionId() << 34
         for b in batches:
-            for i, j, data, offsets in bytescan.slices(b.column(1), 1 << 20):
+            for i, j, data, offsets in bytescan.slices(b.column(1), 1 << 18):
                 ids, at = enc.encode(data, offsets)
                 at = at + np.arange(j - i + 1)
                 own = np.full(len(ids) + j - i, end_id, dtype="<u4")
