@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What is neither letter, number, underscore nor apostrophe: signs and white space alike.
+BETWEEN_WORDS = r"[^\p{L}\p{N}_']+"
+
+
 def normalise(text: Column) -> Column:
-    """Lower case; anything but letters, digits, underscore, white space and apostrophe becomes a space; runs of space collapse."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s']", " "), r"(?U)\s+", " "))
+    """Lower case; runs of anything but letters, numbers, underscore and apostrophe become one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "))
 
 
 def words(text: Column) -> Column:
@@ -117,6 +121,30 @@ def key_values(line: Column, sep: str = "\t") -> Column:
     return F.map_from_entries(last)
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON with every character beyond ASCII as an escape of four hex digits, or two of them beyond the first plane."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    high = lambda n: n - 0x10000
+    pair = lambda n: F.concat(code(F.shiftright(high(n), 10) + 0xD800), code(high(n).bitwiseAND(F.lit(1023)) + 0xDC00))
+    escaped = F.array_join(F.transform(F.split(json, ""), lambda c: F.when(F.ascii(c) < 128, c).when(F.ascii(c) < 0x10000, code(F.ascii(c))).otherwise(pair(F.ascii(c)))), "")
+    return F.when(json.rlike(r"[^\x00-\x7F]"), escaped).otherwise(json)
+
+
+def example_json(label: Column, source: Column, corruption_source: Column, snr_db: Column, rir_id: Column, generation_params: Column, duration_sec: Column, sample_rate: Column) -> Column:
+    """The eight fields of an example as canonical JSON: keys in order, no spaces, ASCII only. Null texts are empty, null maps too; null numbers stay null.
+
+    source and corruption_source are identities already (canonical_source); generation_params is a map of texts.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    params = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(generation_params, F.create_map().cast("map<string,string>")))))
+    fields = {"corruption_source": blank(corruption_source), "duration_sec": duration_sec, "generation_params": params, "label": blank(label), "rir_id": blank(rir_id), "sample_rate": sample_rate, "snr_db": snr_db, "source": blank(source)}
+    return ascii_json(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}))
+
+
+def example_id(json: Column) -> Column:
+    return F.substr(F.sha2(json, 256), F.lit(1), F.lit(24))
+
+
 def identity(*parts: Column) -> Column:
     """First 24 hex digits of the SHA-256 of a canonical JSON of the parts."""
     return F.substr(F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256), F.lit(1), F.lit(24))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,32 @@ def _cell(value: Column, limits: list[float]) -> Column:
     return (2 * below + F.coalesce(F.expr("false") if not limits else F.exists(F.array(*[d(x) for x in limits]), lambda x: x == value), F.lit(False)).cast("int")).cast("int")
 
 
+def _levels(number: np.ndarray, limits: np.ndarray, block: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of files (should_transcribe, cells): how many each configuration passes, finds borderline, falsely accepts, and keeps of those to transcribe; one table a task."""
+    k_rms, k_flat, k_warn, k_mid, k_sil = (limits[:, i] + 1 for i in range(5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(number)), dtype=np.int64)
+        for b in batches:
+            yes, no = (np.array([x == w for x in b.column(0).to_pylist()], dtype=bool) for w in ("yes", "no"))
+            cells = b.column(1)
+            at = cells.offsets.to_numpy() - cells.offsets[0].as_py()
+            flat = cells.flatten()
+            rms, flatness, mid, sil, loud = (flat.field(i).to_numpy(zero_copy_only=False)[:, None] for i in range(5))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + block, "right")) - 1)
+                s = slice(at[i], at[j])
+                fail = (sil[s] > k_sil) | (flatness[s] > k_flat) | ((flatness[s] > k_warn) & loud[s]) | (mid[s] < k_mid)
+                weak = (rms[s] < k_rms) | (flatness[s] > k_warn)
+                level = np.maximum.reduceat(np.where(fail, 0, np.where(weak, 1, 2)).astype(np.int8), at[i:j] - at[i])
+                total += [(level == 2).sum(0), (level == 1).sum(0), ((level == 2) & no[i:j, None]).sum(0), ((level > 0) & yes[i:j, None]).sum(0)]
+                i = j
+        yield pa.RecordBatch.from_arrays([pa.array(number), *map(pa.array, total)], ["config", "n_pass", "n_borderline", "n_fa", "yes_kept"])
+
+    return run
+
+
 def calibrate(chunks: DataFrame, files: DataFrame, grid: DataFrame | None = None, base: Gate = Gate(), alpha: float = GRID_ALPHA) -> DataFrame:
     """(config, thresholds, n_pass, n_borderline, n_fail, n_fa, n_fr, far, frr, accept_rate, cost) for each configuration.
 
@@ -86,17 +114,15 @@ def calibrate(chunks: DataFrame, files: DataFrame, grid: DataFrame | None = None
     cell = chunks.select("path", hard.alias("hard"), _cell(c("rms"), rms).alias("c_rms"), _cell(c("flatness"), sorted({*flat, *warn})).alias("c_flat"), _cell(c("band_mid"), mid).alias("c_mid"), _cell(c("silence_ratio"), sil).alias("c_sil"), (c("zcr") > base.zcr_max_noise).alias("loud"))
     flats = sorted({*flat, *warn})
     place = lambda limits, x: 2 * limits.index(x)  # noqa: E731  cell of a value just at x is place + 1
-    at = spark.createDataFrame([(r["config"], place(rms, r["g_rms"]), place(flats, r["g_flatness"]), place(flats, r["g_warn"]), place(mid, r["g_mid"]), place(sil, r["g_silence"])) for r in rows], "config int, k_rms int, k_flat int, k_warn int, k_mid int, k_sil int")
-    cells = cell.filter("not hard").drop("hard").distinct()
-    met = cells.join(F.broadcast(at), F.lit(True))
-    over = lambda v, k: c(v) > c(k) + 1
-    under = lambda v, k: c(v) < c(k) + 1
-    fail = over("c_sil", "k_sil") | over("c_flat", "k_flat") | (over("c_flat", "k_warn") & c("loud")) | under("c_mid", "k_mid")
-    weak = under("c_rms", "k_rms") | over("c_flat", "k_warn")
-    decided = met.groupBy("config", "path").agg(F.max(F.when(fail, 0).when(weak, 1).otherwise(2)).alias("level"))
+    number = np.array([r["config"] for r in rows], dtype=np.int32)
+    limits = np.array([(place(rms, r["g_rms"]), place(flats, r["g_flatness"]), place(flats, r["g_warn"]), place(mid, r["g_mid"]), place(sil, r["g_silence"])) for r in rows], dtype=np.int64).reshape(-1, 5)
+    names = ("c_rms", "c_flat", "c_mid", "c_sil", "loud")
+    # A file's distinct cells, of which there are only so many: one shuffle by file, and no row for a configuration and a file.
+    sets = cell.filter("not hard").groupBy("path").agg(F.collect_set(F.struct(*names)).alias("cells")).join(files, "path").select("should_transcribe", "cells")
+    totals = sets.mapInArrow(_levels(number, limits), "config int, n_pass long, n_borderline long, n_fa long, yes_kept long")
     # Files whose every chunk fails for any configuration, or that have none, are FAIL in all.
     n = files.agg(F.count("*").alias("n"), F.count_if(c("should_transcribe") == "yes").alias("yes"), F.count_if(c("should_transcribe") == "no").alias("no"))
-    found = decided.join(files, "path").groupBy("config").agg(F.count_if(c("level") == 2).alias("n_pass"), F.count_if(c("level") == 1).alias("n_borderline"), F.count_if((c("level") == 2) & (c("should_transcribe") == "no")).alias("n_fa"), F.count_if((c("level") > 0) & (c("should_transcribe") == "yes")).alias("yes_kept"))
+    found = totals.groupBy("config").agg(*[F.sum(x).alias(x) for x in ("n_pass", "n_borderline", "n_fa", "yes_kept")])
     zero = {x: 0 for x in ("n_pass", "n_borderline", "n_fa", "yes_kept")}
     out = grid.join(found, "config", "left").fillna(zero).join(F.broadcast(n), F.lit(True))
     far, frr = ratio(c("n_fa"), F.greatest(c("no"), F.lit(1))), ratio(c("yes") - c("yes_kept"), F.greatest(c("yes"), F.lit(1)))
@@ -117,12 +143,11 @@ def two_way_sweep(chunks: DataFrame, rtf: float, baseline_accept: float, least_a
     for i, (r, f) in enumerate(cells):
         t, metric = gate.lenient(d(r), d(f))
         said = gate.decide(t, metric)["decision"]
-        aggs.append(F.sum(F.when(said == "PASS", F.lit(1 << 40).cast("decimal(38,0)")).when(said == "BORDERLINE", F.lit(1).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))).alias(f"n{i}"))
+        aggs += [F.count_if(said == "PASS").alias(f"p{i}"), F.count_if(said == "BORDERLINE").alias(f"b{i}")]
     one = chunks.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(i).alias("cell"), d(r).alias("rms_min"), d(f).alias("flatness_max"), F.col(f"n{i}").alias("n")) for i, (r, f) in enumerate(cells)])
+    items = F.array(*[F.struct(F.lit(i).alias("cell"), d(r).alias("rms_min"), d(f).alias("flatness_max"), F.col(f"p{i}").alias("n_pass"), F.col(f"b{i}").alias("n_border")) for i, (r, f) in enumerate(cells)])
     c = F.col
-    long = one.select("total", F.explode(items).alias("x")).select("total", "x.*")
-    parted = long.withColumns({"n_pass": F.floor(c("n") / F.lit(1 << 40).cast("decimal(38,0)")).cast("long")}).withColumn("n_border", (c("n") - c("n_pass") * F.lit(1 << 40).cast("decimal(38,0)")).cast("long"))
+    parted = one.select("total", F.explode(items).alias("x")).select("total", "x.*")
     accept = ratio(c("n_pass") + c("n_border"), c("total"))
     kept = accept / d(max(baseline_accept, 1e-9))
     return parted.select("cell", "rms_min", "flatness_max", accept.alias("accept_rate"), ratio(c("n_pass"), c("total")).alias("pass_share"), ratio(c("n_border"), c("total")).alias("border_share"), ratio(c("total") - c("n_pass") - c("n_border"), c("total")).alias("fail_share"), (d(rtf) * kept).alias("estim_rtf"), (F.greatest(d(0), 1 - kept) * 100).alias("saved_pct"), F.when(accept < least_accept, "low_accept").otherwise("ok").alias("flag"))
@@ -131,7 +156,3 @@ def two_way_sweep(chunks: DataFrame, rtf: float, baseline_accept: float, least_a
 def recommended(swept: DataFrame) -> DataFrame:
     """The cell that saves most among those that are ok; of equals the first."""
     return swept.filter("flag = 'ok'").orderBy(F.desc("saved_pct"), "cell").limit(1)
-
-
-def stricter(base: Gate, **changes) -> Gate:
-    return replace(base, **changes)

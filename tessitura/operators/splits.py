@@ -12,8 +12,13 @@ def order_key(seed: int | str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(str(seed)), F.lit(":"), key.cast("string")), 256)
 
 
-def rank_rows(df: DataFrame, order: list[Column], into: str, buckets: int = 64) -> DataFrame:
-    """Add a global row number from 0 by `order` (strings, hex digits first): counts of hash ranges, then ranks within each, so that no task sees all rows."""
+def rank_rows(df: DataFrame, order: list[Column], into: str, buckets: int | None = None, rows_a_bucket: int = 100_000) -> DataFrame:
+    """Add a global row number from 0 by `order` (strings, hex digits first): counts of hash ranges, then ranks within each, so that no task sees all rows.
+
+    Without `buckets` their number follows the number of rows.
+    """
+    if buckets is None:
+        buckets = min(65536, max(8, -(-df.count() // rows_a_bucket)))
     keyed = df.withColumn("__b", F.conv(F.substr(order[0], F.lit(1), F.lit(4)), 16, 10).cast("int") % F.lit(65536))
     keyed = keyed.withColumn("__b", F.floor(F.col("__b") * buckets / 65536).cast("int"))
     before = keyed.groupBy("__b").agg(F.count("*").alias("__n"))

@@ -419,44 +419,53 @@ def recommended_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Transcripts.
 
-_NORM = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^\\w\\s'']', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_'']+', ' ', 'g'))"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, role, ref, hyp): eight words of a turn against eight of the next, by number of the turn."""
-    c = table(spark, sf_dir, "conversations")
-    short = lambda x: F.slice(F.split(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z ]", ""), " "), 1, 8)
-    a = c.select("conv_id", "turn", "role", short(F.col("text")).alias("ref"))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), short(F.col("text")).alias("hyp"))
+    """(conv_id, turn, role, ref, hyp): the words of a turn against those of the next, by number of the turn."""
+    c = table(spark, sf_dir, "conversations").withColumn("w", text.words(text.normalise(F.coalesce("text", F.lit("")))))
+    a = c.select("conv_id", "turn", "role", F.col("w").alias("ref"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("hyp"))
     return a.join(b, ["conv_id", "turn"])
 
 
-_PAIR = """c AS (SELECT conv_id, turn, role, string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), ' ')[1:8] AS w FROM conversations),
-q AS (SELECT a.conv_id, a.turn, a.role, a.w AS ref, b.w AS hyp, list_distinct(list_concat(a.w, b.w)) AS v FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-e AS (SELECT conv_id, turn, role, len(ref) AS n_ref, levenshtein(array_to_string(list_transform(ref, lambda x: chr((65 + list_position(v, x))::INT)), ''), array_to_string(list_transform(hyp, lambda x: chr((65 + list_position(v, x))::INT)), '')) AS errors FROM q)"""
+# Rows of the distance table one after the other; a row's least sums to the left come from its values less their places.
+_PAIR = f"""n AS (SELECT conv_id, turn, role, {_NORM("coalesce(text, '')")} AS t FROM conversations),
+c AS (SELECT conv_id, turn, role, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM n),
+q AS (SELECT a.conv_id, a.turn, a.role, a.w AS ref, b.w AS hyp FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+r AS (SELECT conv_id, turn, role, ref, hyp, 0::BIGINT AS i, range(0, len(hyp) + 1) AS line FROM q
+  UNION ALL SELECT conv_id, turn, role, ref, hyp, i + 1, list_transform(range(1, len(less) + 1), lambda k: list_min(less[1:k]) + k)
+  FROM (SELECT *, list_concat([i], list_transform(range(1, len(hyp) + 1), lambda j: least(line[j + 1] + 1, line[j] + (hyp[j] <> ref[i + 1])::BIGINT) - j - 1)) AS less FROM r WHERE i < len(ref))),
+e AS (SELECT conv_id, turn, role, len(ref) AS n_ref, CASE WHEN len(ref) = 0 THEN 0 ELSE line[len(line)] END AS errors FROM r WHERE i = len(ref))"""
+
 
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_pairs with n_ref and the kinds of errors; a pair without reference words has none."""
+    p = _pairs(spark, sf_dir).withColumn("a", text.alignment("ref", "hyp")).withColumn("n_ref", F.size("ref"))
+    return p.withColumn("errors", F.when(F.col("n_ref") > 0, F.col("a.substitutions") + F.col("a.deletions") + F.col("a.insertions")).otherwise(0))
 
-@query(f"WITH {_PAIR} SELECT conv_id, turn, n_ref::INTEGER AS n_ref, errors::INTEGER AS errors, round(errors / n_ref::DOUBLE, 6) AS wer FROM e")
+
+@query(f"WITH RECURSIVE {_PAIR} SELECT conv_id, turn, n_ref::INTEGER AS n_ref, errors::INTEGER AS errors, CASE WHEN n_ref = 0 THEN 0 ELSE round(errors / n_ref::DOUBLE, 6) END AS wer, n_ref = 0 AS skipped FROM e")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word errors by a fold over the distance table, in the JVM."""
-    p = _pairs(spark, sf_dir).withColumn("errors", text.word_errors_sql(F.col("ref"), F.col("hyp")))
-    return rounded(p.select("conv_id", "turn", F.size("ref").alias("n_ref"), "errors", ratio(F.col("errors"), F.size("ref")).alias("wer")))
+    """Word errors of whole turns; without reference words a pair is skipped."""
+    n = F.col("n_ref")
+    return rounded(_errors(spark, sf_dir).select("conv_id", "turn", "n_ref", "errors", ratio(F.col("errors"), n).alias("wer"), (n == 0).alias("skipped")))
 
 
-@query(f"WITH {_PAIR} SELECT role, sum(n_ref)::BIGINT AS n_ref, sum(errors)::BIGINT AS errors, round(sum(errors) / sum(n_ref)::DOUBLE, 6) AS wer FROM e GROUP BY role")
+@query(f"""WITH RECURSIVE {_PAIR} SELECT role, count(*) FILTER (WHERE n_ref > 0) AS scored, count(*) FILTER (WHERE n_ref = 0) AS skipped, sum(n_ref)::BIGINT AS n_ref, sum(errors)::BIGINT AS errors,
+  CASE WHEN sum(n_ref) = 0 THEN 0 ELSE round(sum(errors) / sum(n_ref)::DOUBLE, 6) END AS wer FROM e GROUP BY role""")
 def wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors summed over words summed, with the kinds of errors from an alignment."""
-    p = _pairs(spark, sf_dir).withColumn("a", text.alignment("ref", "hyp"))
-    n = F.sum(F.size("ref")).cast("long")
-    e = F.sum(F.col("a.substitutions") + F.col("a.deletions") + F.col("a.insertions")).cast("long")
-    return rounded(p.groupBy("role").agg(n.alias("n_ref"), e.alias("errors"), ratio(e, n).alias("wer")))
+    """A report by role: pairs scored and skipped, errors summed over words summed."""
+    n, e = F.sum("n_ref").cast("long"), F.sum("errors").cast("long")
+    out = _errors(spark, sf_dir).groupBy("role").agg(F.count_if(F.col("n_ref") > 0).alias("scored"), F.count_if(F.col("n_ref") == 0).alias("skipped"), n.alias("n_ref"), e.alias("errors"), ratio(e, n).alias("wer"))
+    return rounded(out)
 
 
-@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s'']', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+@query(f"SELECT conv_id, turn, {_NORM('text')} AS norm FROM conversations")
 def wer_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised texts; SQL engines differ on letters beyond ASCII, so the query keeps to ASCII turns."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return c.select("conv_id", "turn", text.normalise(F.col("text")).alias("norm"))
+    """Normalised texts of all turns; null stays null."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalise(F.col("text")).alias("norm"))
 
 
 @query("""SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations WHERE text <> '' GROUP BY conv_id""")
@@ -503,10 +512,14 @@ def source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlap(docs, ["train", "validation", "test"], dims).withColumn("examples", F.array_join("examples", "|"))
 
 
-@query("""SELECT doc_id, left(sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}'), 24) AS stable_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL""")
+@query("""SELECT doc_id, left(sha256('{"corruption_source":"","duration_sec":' || coalesce(((n_chars / 8::DOUBLE)::DOUBLE)::VARCHAR, 'null') || ',"generation_params":{' || CASE WHEN doc_id % 2 = 0 THEN '"doc":"' || doc_id || '","kind":"text"' ELSE '' END
+  || '},"label":"' || coalesce(lang, '') || '","rir_id":"","sample_rate":16000,"snr_db":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE (doc_id % 40)::DOUBLE::VARCHAR END || ',"source":"' || coalesce(source, '') || '"}'), 24) AS stable_id FROM documents""")
 def example_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang is not null and source is not null and n_chars is not null")
-    return docs.select("doc_id", text.identity(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("stable_id"))
+    """Identities of all documents as examples of eight fields, nulls among them."""
+    k, none = F.col("doc_id"), F.lit(None)
+    params = F.when(k % 2 == 0, F.create_map(F.lit("kind"), F.lit("text"), F.lit("doc"), k.cast("string")))
+    json = text.example_json(F.col("lang"), F.col("source"), none.cast("string"), F.when(k % 3 != 0, (k % 40).cast("double")), none.cast("string"), params, F.col("n_chars") / d(8), F.lit(16000))
+    return table(spark, sf_dir, "documents").select("doc_id", text.example_id(json).alias("stable_id"))
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {_H(7, 'doc_id')}, doc_id LIMIT 25")
@@ -564,13 +577,15 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("n_langs"), F.countDistinct("h").alias("n_texts"), F.sum("n_chars").alias("chars"), (F.sum("n_chars") / d(3600)).alias("hours")))
 
 
-@query("""WITH p AS (SELECT page_id, '/mnt/' || regexp_replace(url, '^[a-z]+://', '') AS q FROM pages)
-SELECT page_id, 'data/raw/' || substr(regexp_replace(q, '/+', '/', 'g'), 6) AS source_id FROM p WHERE NOT contains(q, '/./') AND NOT contains(q, '/../') AND NOT ends_with(q, '/')""")
+@query("""WITH p AS (SELECT page_id, '/mnt/' || regexp_replace(url, '^[a-z]+://', '') AS q FROM pages),
+f AS (SELECT page_id, list_reduce(list_concat([[]::VARCHAR[]], list_transform(list_filter(string_split(q, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x])),
+  lambda a, b: CASE WHEN b[1] = '..' THEN a[1:len(a) - 1] ELSE list_concat(a, b) END) AS parts FROM p),
+c AS (SELECT page_id, '/' || array_to_string(parts, '/') AS clean FROM f)
+SELECT page_id, CASE WHEN instr(clean, 'data/raw/') > 0 THEN substr(clean, instr(clean, 'data/raw/')) WHEN starts_with(clean, '/mnt/') THEN 'data/raw/' || substr(clean, 6) END AS source_id FROM c""")
 def canonical_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths under a physical root named by their logical root."""
+    """All paths under a physical root named by their logical root; null where `..` leads out of it."""
     q = F.concat(F.lit("/mnt/"), F.regexp_replace("url", "^[a-z]+://", ""))
-    p = table(spark, sf_dir, "pages").withColumn("q", q).filter(~F.contains("q", F.lit("/./")) & ~F.contains("q", F.lit("/../")) & ~F.endswith("q", F.lit("/")))
-    return p.select("page_id", text.canonical_source(F.col("q"), {"/mnt": "data/raw"}).alias("source_id"))
+    return table(spark, sf_dir, "pages").select("page_id", text.canonical_source(q, {"/mnt": "data/raw"}).alias("source_id"))
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, 'models/ggml-' || replace(lower(p_name), ' ', '-') || CASE p_partkey % 3 WHEN 0 THEN '-q5_1' WHEN 1 THEN '-q8_0' ELSE '' END || CASE p_partkey % 2 WHEN 0 THEN '__opt__' ELSE '' END || '.bin' AS f FROM part)
@@ -739,11 +754,12 @@ def log_kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", *[F.try_element_at("kv", F.lit(k)).alias(k) for k in ("event", "user", "note")])
 
 
-@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.' || json_keys(props)[1])) AS n_first FROM events GROUP BY event_type")
+@query("""WITH k AS (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)
+SELECT event_type, key, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || key)) AS n_values, min(json_extract_string(props, '$.' || key)) AS least FROM k GROUP BY event_type, key""")
 def json_bench_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested JSON documents flattened by a given schema of their kind: a map of texts."""
-    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,string>").alias("m"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get(F.map_values("m"), F.lit(0))).alias("n_first"))
+    """Nested JSON documents flattened by a given schema of their kind, a map of texts: every key of every document."""
+    e = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return e.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"))
 
 
 @query(f"""WITH {PREDICTIONS_SQL} SELECT doc_id, label, target::INT AS target, round(probability, 9) AS probability, probability >= 3e-1 AS said, (probability >= 3e-1) = target AS correct FROM p""")

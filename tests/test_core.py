@@ -298,3 +298,18 @@ def test_reports_leave_errors_out(spark):
     s = diagnostics.scaling(spark.createDataFrame([("a", 1, 2.0), ("a", 4, 1.0), ("b", 1, 1.0)], "m string, t int, r double"), ["m"], "t", "r")
     assert {(r.m, r.t): (r.speedup, r.efficiency) for r in s.collect()} == {("a", 1): (1, 1), ("a", 4): (2, 0.5)}
     assert Gate().flatness_warn == 0.72
+
+
+def test_example_json_equals_pythons(spark):
+    """Null fields, characters beyond ASCII and beyond the first plane, and maps in any order."""
+    import hashlib
+    import json
+
+    rows = [("speech", "data/raw/a.wav", None, 5.0, None, {"b": "2", "a": "1"}, 1.5, 16000), (None, "é/日本/\U0001f600\"\\\n", "x", None, "r1", None, None, None)]
+    df = spark.createDataFrame(rows, "label string, source string, corruption_source string, snr_db double, rir_id string, generation_params map<string,string>, duration_sec double, sample_rate int")
+    got = df.select(text.example_json(*map(F.col, df.columns)).alias("j")).withColumn("i", text.example_id(F.col("j"))).collect()
+    for r, g in zip(rows, got, strict=True):
+        want = dict(zip(df.columns, r, strict=True))
+        want |= {k: want[k] or "" for k in ("label", "source", "corruption_source", "rir_id")} | {"generation_params": want["generation_params"] or {}}
+        want = json.dumps(want, sort_keys=True, separators=(",", ":"))
+        assert g.j == want and g.i == hashlib.sha256(want.encode()).hexdigest()[:24]
