@@ -160,6 +160,7 @@ def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        bytescan.release()
         n = TaskContext.get().partitionId() << 34
         for b in batches:
             for i, j, data, offsets in bytescan.slices(b.column(1), 1 << 18):
