@@ -180,3 +180,16 @@ def test_pipeline_stages_on_odd_rows(spark, edge, nothing, sf):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, sf)
         df.count()
+
+
+def test_mixing_stage_takes_what_the_mix_takes(spark, sf):
+    """Rows with null ids, one size and one source, and rows that agree in everything: words as mix counts them, no row above twice."""
+    rows = [(None, " ".join(f"w{i}x{j}" for j in range(10)), "en", "ab"[i % 4 == 0], 10) for i in range(200)] + [(7, "one and the same text " * 2, "en", "a", 40)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, sf).collect()
+    want, words, times = mixing.targets({"a": 1550, "b": 500}), defaultdict(int), defaultdict(int)
+    for r in got:
+        words[r.source] += len(r.text.split())
+        times[r.text] += 1
+    assert all(abs(words[s] - want[s]) <= 10 for s in want)
+    assert all(n <= (10 if t.startswith("one") else 2) for t, n in times.items())
