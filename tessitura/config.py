@@ -19,6 +19,10 @@ REASONS = {
     "borderline_low_energy": "energy just above the floor",
     "borderline_noisy_speech": "flatter spectrum than clean speech",
     "ok": "all tests passed",
+    "gate_disabled": "the gate was off",
+    "low_rms": "older logs: borderline_low_energy",
+    "high_spectral_flatness": "older logs: stationary_noise_like",
+    "elevated_flatness": "older logs: borderline_noisy_speech",
 }
 
 

@@ -138,3 +138,27 @@ def frames(x: Column, size: int, hop: int) -> Column:
     """Array of (frame, samples): whole frames only."""
     starts = F.when(F.size(x) >= size, F.sequence(F.lit(0), F.size(x) - size, F.lit(hop))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s, i: F.struct(i.alias("frame"), F.slice(x, s + 1, F.lit(size)).alias("samples")))
+
+
+def eval_chunks(x: Column, seconds: float, rate: int, drop_short: bool = False) -> Column:
+    """Chunks of so many whole samples without overlap; drop_short leaves out those below half of that. Less than a sample: one chunk of all."""
+    length = int(seconds * rate)
+    if length > 0:
+        out = chunks(x, length)
+        return F.filter(out, lambda c: F.size(c["samples"]) >= length // 2) if drop_short else out
+    if drop_short:
+        raise ValueError("a chunk must hold a sample")
+    return F.array(F.struct(F.lit(0).alias("idx"), F.lit(0).alias("start"), x.alias("samples")))
+
+
+def slice_seconds(x: Column, start: Column, stop: Column, rate: int) -> Column:
+    """Samples of a segment: places cut down to whole samples and to the signal; none where nothing is left."""
+    first = F.greatest(F.lit(0), (start * rate).cast("int"))
+    return F.slice(x, first + 1, F.greatest(F.lit(0), F.least(F.size(x), (stop * rate).cast("int")) - first))
+
+
+def sign_change_rate(x: Column, rate: int) -> Column:
+    """Changes of sign a second, zero being a sign of its own."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    changed = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n), lambda a, b: F.signum(a.cast("double")) != F.signum(b.cast("double")))
+    return F.when(F.size(x) > 0, F.size(F.filter(changed, lambda v: v)) * d(rate) / F.size(x)).otherwise(d(0))

@@ -23,6 +23,15 @@ def words(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, " ")).otherwise(F.array().cast("array<string>"))
 
 
+#: What Python's str.split() splits at.
+BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-cased words between white space, signs left in place; none of a null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), lambda w: w != "")
+
+
 def word_errors_sql(ref: Column, hyp: Column) -> Column:
     """Least substitutions, deletions and insertions between two word arrays: a fold over rows of the distance table."""
     first = F.sequence(F.lit(0), F.size(hyp))
@@ -97,6 +106,20 @@ def canonical_source(path: Column, roots: dict[str, str], logical: str = "data/r
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def portable(value: Column, root: str, roots: dict[str, str]) -> Column:
+    """A reference that names no host folder: paths (values with a slash) from root on, else their source identity; other values as they are, null as empty."""
+    root = root.rstrip("/") + "/"
+    whole = clean_path(F.when(F.startswith(value, F.lit("/")), value).otherwise(F.concat(F.lit(root), value)))
+    path = F.when(F.startswith(whole, F.lit(root)), F.substr(whole, F.lit(len(root) + 1))).otherwise(canonical_source(whole, roots))
+    return F.when(F.coalesce(value, F.lit("")) == "", "").when(F.instr(value, "/") > 0, path).otherwise(value)
+
+
+def input_identities(source: Column, corruption: Column, roots: dict[str, str]) -> Column:
+    """Sorted distinct identities of all an example was made of: its source, and its corruption where that is a path."""
+    of = F.array(F.when(source != "", canonical_source(source, roots)), F.when(F.instr(corruption, "/") > 0, canonical_source(corruption, roots)))
+    return F.array_sort(F.array_distinct(F.array_compact(of)))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.config import METRICS, SCENES, Adaptive, Gate, Scene
+from tessitura.config import METRICS, REASONS, SCENES, Adaptive, Gate, Scene
 from tessitura.functions.numeric import all_of, d, is_finite, round6, soft_confidence
 
 Thresholds = dict[str, Column]
@@ -151,11 +153,28 @@ def admission(policy: Column, rule: Column, learned: Column) -> Column:
     return F.struct(ok.alias("admitted"), why.alias("rejection"))
 
 
+def describe(reason: Column) -> Column:
+    """What a reason means; empty for one that is not known, or null."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), reason), F.lit(""))
+
+
+def admit_once(files: DataFrame, admitted: Column, samples: Column, transcribe: Callable[[Column], Column], enabled: bool = True) -> DataFrame:
+    """Add ran (boolean) and result: transcribe(samples) of each admitted file, once, and null of the others, which never reach it.
+
+    An admitted file without samples is an error. Files with a null verdict are not admitted.
+    """
+    said = F.coalesce(admitted, F.lit(False)) if enabled else F.lit(False)
+    checked = F.when(F.size(samples) > 0, samples).otherwise(F.raise_error(F.lit("an admitted file has no samples")).cast("array<double>"))
+    ran = files.filter(said).withColumns({"ran": F.lit(True), "result": transcribe(checked)})
+    rest = files.filter(~said).withColumns({"ran": F.lit(False), "result": F.lit(None).cast(ran.schema["result"].dataType)})
+    return ran.unionByName(rest)
+
+
 def parse_policy(policy: str, threshold: str) -> tuple[str, float]:
     """Checked before a plan is built: a known policy, a finite number in [0, 1] and nothing after it."""
     if policy not in ("rule", "learned", "hybrid"):
         raise ValueError(f"unknown policy {policy!r}")
-    value = float(threshold)
+    value = float(threshold) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", threshold, re.ASCII) else -1.0
     if not 0 <= value <= 1:
         raise ValueError(f"threshold {threshold!r} is not within 0 and 1")
     return policy, value

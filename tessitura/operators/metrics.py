@@ -156,3 +156,56 @@ def two_way_sweep(chunks: DataFrame, rtf: float, baseline_accept: float, least_a
 def recommended(swept: DataFrame) -> DataFrame:
     """The cell that saves most among those that are ok; of equals the first."""
     return swept.filter("flag = 'ok'").orderBy(F.desc("saved_pct"), "cell").limit(1)
+
+
+_TOTALS = ("tp", "fp", "tn", "fn", "music_fa", "clean_speech_fr")
+
+
+def document(rows: DataFrame, label: Column, truth: Column, probability: Column, selected: float) -> DataFrame:
+    """The metrics of one split at the selected threshold and, to compare, at 0.5: kind, threshold, label (null: all), counts and rates.
+
+    music_fa counts admitted music, clean_speech_fr clean speech that is not. Rows are counted once; the thresholds meet the counts.
+    """
+    cells = rows.groupBy(label.alias("label"), truth.alias("truth"), (probability >= d(selected)).alias("a"), (probability >= d(0.5)).alias("b")).agg(F.count("*").alias("n"))
+    one = lambda kind, at, said: F.struct(F.lit(kind).alias("kind"), d(at).alias("threshold"), F.col(said).alias("said"))
+    kinds = F.array(one("selected", selected, "a"), one("default", 0.5, "b"))
+    c = cells.select("label", "truth", "n", F.inline(kinds))
+    t, y = F.col("truth"), F.col("said")
+    tests = (t & y, ~t & y, ~t & ~y, t & ~y, (F.col("label") == "music") & y, (F.col("label") == "clean_speech") & ~y)
+    sums = [F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long").alias(name) for name, test in zip(_TOTALS, tests, strict=True)]
+    by = ["kind", "threshold", "label"]
+    grouped = c.groupingSets([by[:2], by], *by).agg(*sums, F.grouping("label").alias("whole"))
+    return rates(grouped.filter("whole = 1 or label is not null").drop("whole"))
+
+
+def check_document(doc: DataFrame, rows: DataFrame, label: Column, truth: Column, probability: Column, selected: float) -> None:
+    """Raise unless doc is what document() gives for these rows. Compares a row a label."""
+    due = document(rows, label, truth, probability, selected)
+    doc = doc.select(*due.columns)
+    if bad := doc.exceptAll(due).unionByName(due.exceptAll(doc)).limit(5).collect():
+        raise ValueError(f"metrics do not agree with the rows at {selected}: {bad}")
+
+
+def bare_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: over zero, not a number or infinite."""
+    return F.when(b != 0, a.cast("double") / b).when(a > 0, d(float("inf"))).when(a < 0, d(float("-inf"))).otherwise(d(float("nan")))
+
+
+def policy_report(counted: DataFrame) -> DataFrame:
+    """Add far, frr, f1 and avoided_pct to tp, fp, tn, fn, calls and ungated, none guarded against empty classes."""
+    c = F.col
+    p, q = bare_ratio(c("tp"), c("tp") + c("fp")), bare_ratio(c("tp"), c("tp") + c("fn"))
+    return counted.withColumns({"far": bare_ratio(c("fp"), c("fp") + c("tn")), "frr": bare_ratio(c("fn"), c("tp") + c("fn")), "f1": bare_ratio(2 * p * q, p + q), "avoided_pct": bare_ratio(c("ungated") - c("calls"), c("ungated")) * 100})
+
+
+def wer_report(pairs: DataFrame, by: str, skip_empty: bool = False) -> DataFrame:
+    """Of ref and hyp texts with n_ref and errors, by group: n_refs, n_scored, n_skipped, n_empty_hyp, n_ref, errors, wer.
+
+    Pairs without a reference do not count. An empty hypothesis is skipped, or else scored as such. Nothing scored: wer 0.
+    """
+    ref, empty = F.coalesce("ref", F.lit("")) != "", F.coalesce("hyp", F.lit("")) == ""
+    skipped = ref & empty & F.lit(skip_empty)
+    scored = ref & ~skipped
+    some = lambda c: F.coalesce(F.sum(F.when(scored, F.col(c))), F.lit(0)).cast("long")
+    counted = [F.count_if(ref).alias("n_refs"), F.count_if(scored).alias("n_scored"), F.count_if(skipped).alias("n_skipped"), F.count_if(scored & empty).alias("n_empty_hyp")]
+    return pairs.groupBy(by).agg(*counted, some("n_ref").alias("n_ref"), some("errors").alias("errors"), ratio(some("errors"), some("n_ref")).alias("wer"))

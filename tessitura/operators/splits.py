@@ -95,3 +95,16 @@ def exclude(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
 
 def existing(df: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     return df.join(listing.select(key), key, "left_semi")
+
+
+def lookup(df: DataFrame, key: str, table: DataFrame, value: str, default: str = "") -> DataFrame:
+    """df with table's value of its key (one row a key), or the default where key or value is missing."""
+    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def same_order(a: DataFrame, b: DataFrame, place: str, key: str) -> DataFrame:
+    """One row: n_left, n_right, n_different (places held by one side only or by different keys), equal."""
+    left, right = (x.select(F.col(place).alias("at"), F.struct(key).alias(n)) for x, n in ((a, "l"), (b, "r")))
+    met = left.join(right, "at", "full")
+    out = met.agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.count_if(~F.col("l").eqNullSafe(F.col("r"))).alias("n_different"))
+    return out.withColumn("equal", F.col("n_different") == 0)

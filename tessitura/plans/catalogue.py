@@ -431,13 +431,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Rows of the distance table one after the other; a row's least sums to the left come from its values less their places.
-_PAIR = f"""n AS (SELECT conv_id, turn, role, {_NORM("coalesce(text, '')")} AS t FROM conversations),
-c AS (SELECT conv_id, turn, role, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM n),
-q AS (SELECT a.conv_id, a.turn, a.role, a.w AS ref, b.w AS hyp FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+_ALIGN = """q AS (SELECT a.conv_id, a.turn, a.role, a.w AS ref, b.w AS hyp FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 r AS (SELECT conv_id, turn, role, ref, hyp, 0::BIGINT AS i, range(0, len(hyp) + 1) AS line FROM q
   UNION ALL SELECT conv_id, turn, role, ref, hyp, i + 1, list_transform(range(1, len(less) + 1), lambda k: list_min(less[1:k]) + k)
   FROM (SELECT *, list_concat([i], list_transform(range(1, len(hyp) + 1), lambda j: least(line[j + 1] + 1, line[j] + (hyp[j] <> ref[i + 1])::BIGINT) - j - 1)) AS less FROM r WHERE i < len(ref))),
 e AS (SELECT conv_id, turn, role, len(ref) AS n_ref, CASE WHEN len(ref) = 0 THEN 0 ELSE line[len(line)] END AS errors FROM r WHERE i = len(ref))"""
+_PAIR = f"""n AS (SELECT conv_id, turn, role, {_NORM("coalesce(text, '')")} AS t FROM conversations),
+c AS (SELECT conv_id, turn, role, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM n),
+{_ALIGN}"""
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
