@@ -10,8 +10,15 @@ from tessitura.functions.text import base_name, key_values
 
 
 def jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON lines with a given schema; blank lines are skipped, broken ones are null rows and dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines with a given schema; blank lines are skipped, a broken one ends the job with an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def required(rows: DataFrame, name: str) -> DataFrame:
+    """rows, if there is one; an error that names the manifest otherwise. Reads a row. Missing files are Spark's own error."""
+    if rows.isEmpty():
+        raise ValueError(f"manifest {name} has no rows")
+    return rows
 
 
 def manifest(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -34,6 +41,13 @@ def bench_chunks(docs: DataFrame) -> DataFrame:
     return rows.withColumns({new: F.coalesce(F.col(new), F.col(old)) for new, old in alias.items()}).drop(*alias.values())
 
 
+def hypotheses(docs: DataFrame) -> DataFrame:
+    """(file, idx, text) of bench documents: the transcript of each chunk, empty where it has none; -1 for no idx; of equal ones the last."""
+    rows = docs.select("file", F.posexplode("chunks").alias("at", "c"))
+    text = F.coalesce(F.max_by("c.transcript", "at"), F.lit(""))
+    return rows.groupBy("file", F.coalesce("c.idx", F.lit(-1)).alias("idx")).agg(text.alias("text"))
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, fields map) of tab-separated key=value lines."""
     return spark.read.text(path).filter(F.trim("value") != "").select(base_name(F.col("_metadata.file_path")).alias("file"), key_values(F.col("value")).alias("fields"))

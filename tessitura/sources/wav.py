@@ -81,18 +81,34 @@ def audio_info(content: Column) -> Column:
     return _info(content)
 
 
-def signals(content: DataFrame) -> DataFrame:
-    """(path, sample_rate, samples) of the readable files of `files()`, a batch at a time."""
+def signals(content: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, sample_rate, samples) of the readable files of `files()`, a batch at a time; unreadable() has the others.
+
+    strict: an unreadable file, one cut short or one without a frame, ends the job with an error that names it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if (got := decode(raw or b"")) is not None:
+                if (got := decode(raw or b"")) is None:
+                    if strict:
+                        raise ValueError(f"{path} cannot be read")
+                else:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([got[0]], pa.int32()), pa.array([got[1]], pa.list_(pa.float32()))], ["path", "sample_rate", "samples"])
 
     return content.select("path", "content").mapInArrow(run, "path string, sample_rate int, samples array<float>")
 
 
+@F.arrow_udf(T.BooleanType())
+def _readable(content: pa.Array) -> pa.Array:
+    return pa.array([decode(raw or b"") is not None for raw in content.to_pylist()], pa.bool_())
+
+
+def unreadable(content: DataFrame) -> DataFrame:
+    """(path) of the files that signals() leaves out."""
+    return content.filter(~_readable("content")).select("path")
+
+
 @F.arrow_udf(T.BinaryType())
 def wav_bytes(samples: pa.Array, rate: pa.Array) -> pa.Array:
     """PCM-16 files as binary values; a table of them is what a sink should keep."""

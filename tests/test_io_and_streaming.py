@@ -2,6 +2,8 @@ import json
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessitura import schemas
@@ -115,3 +117,33 @@ def test_history_as_state(spark, tmp_path):
     src = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = {(r.path, r.idx): r.dominant for r in stateful.drain(stateful.dominant_scene(src), "h", "append").collect()}
     assert got == want
+
+
+def test_broken_and_missing_sources_are_errors(spark, tmp_path):
+    good = tmp_path / "good.jsonl"
+    good.write_text('\n{"path": "a"}\n  \n')
+    assert [r.path for r in tables.required(tables.jsonl(spark, str(good), "path string"), "good").collect()] == ["a"]
+    (tmp_path / "broken.jsonl").write_text('{"path": "a"}\n{"path": \n')
+    with pytest.raises(Py4JJavaError, match="FAILED_READ_FILE"):
+        tables.jsonl(spark, str(tmp_path / "broken.jsonl"), "path string").collect()
+    (tmp_path / "none.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="none.jsonl"):
+        tables.required(tables.jsonl(spark, str(tmp_path / "none.jsonl"), "path string"), "none.jsonl")
+
+
+def test_unreadable_files_are_told(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav.encode(np.zeros(8, dtype=np.float32), 8000))
+    (tmp_path / "cut.wav").write_bytes(wav.encode(np.zeros(8, dtype=np.float32), 8000)[:-2])
+    (tmp_path / "none.wav").write_bytes(wav.encode(np.zeros(0, dtype=np.float32), 8000))
+    f = wav.files(spark, str(tmp_path))
+    name = lambda rows: sorted(r.path.rsplit("/", 1)[-1] for r in rows.collect())
+    assert name(wav.signals(f)) == ["a.wav"] and name(wav.unreadable(f)) == ["cut.wav", "none.wav"]
+    with pytest.raises(PySparkException, match="cannot be read"):
+        wav.signals(f, strict=True).collect()
+    assert len(wav.signals(f.filter("path like '%/a.wav'"), strict=True).collect()) == 1
+
+
+def test_hypotheses(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"chunks": [{"idx": 0, "transcript": "old"}, {"idx": 0, "transcript": "new"}, {"idx": 1}, {"transcript": "lost"}]}')
+    got = tables.hypotheses(tables.bench(spark, str(tmp_path / "b.json"))).collect()
+    assert sorted((r.file, r.idx, r.text) for r in got) == [("b.json", -1, "lost"), ("b.json", 0, "new"), ("b.json", 1, "")]
