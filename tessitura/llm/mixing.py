@@ -166,10 +166,18 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
 
     most = max((r["n"] for r in found), default=1)
     buckets = max(64, most // 20_000)
+    sets = [tuple(r["sources"]) for r in found]
     plan = spark.createDataFrame(
-        [(r["pattern"], int(due[p := tuple(r["sources"])] // capacity[p]) if capacity[p] else 0, int(round(due[p] % capacity[p])) if capacity[p] else 0, [sizes[s] for s in p], [float(quota[s]) for s in p]) for r in found],
-        "pattern long, whole int, rest long, source_size array<long>, target array<double>",
-    )
+        pa.table(
+            {
+                "pattern": pa.array([r["pattern"] for r in found], pa.int64()),
+                "whole": pa.array([int(due[p] // capacity[p]) if capacity[p] else 0 for p in sets], pa.int32()),
+                "rest": pa.array([int(round(due[p] % capacity[p])) if capacity[p] else 0 for p in sets], pa.int64()),
+                "source_size": pa.array([[sizes[s] for s in p] for p in sets], pa.list_(pa.int64())),
+                "target": pa.array([[float(quota[s]) for s in p] for p in sets], pa.list_(pa.float64())),
+            }
+        )
+    )  # as Arrow: a list of rows would start Python workers of a second kind
     # Seeded order in two steps, so that no source meets in one task: sums of hash buckets, then the order within a bucket.
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
     keyed = rows.withColumns({"order": order, "bucket": F.pmod(F.shiftrightunsigned(order, 8), F.lit(buckets)).cast("int")})
@@ -199,7 +207,7 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights: Se
             left = now.filter("not fits").drop("fits", "gap").join(F.broadcast(gap), "pattern").filter("size <= gap")
         return store(keyed.join(taken.withColumn("more", F.lit(1)), "row_no", "left").fillna(0, ["more"]), "passed")
 
-    reserved = spark.createDataFrame([], "pattern long, row_no long, size long")
+    reserved = spark.range(0).select(*(F.col("id").alias(c) for c in ("pattern", "row_no", "size")))
     while True:
         filled = in_order(reserved)
         gap = filled.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")).filter("gap > 0")

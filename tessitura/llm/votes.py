@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,5 +72,5 @@ def label(rows: DataFrame, votes: list[Column], into: str) -> tuple[DataFrame, L
     table = unpack([r[0] for r in found], len(votes))
     model = fit(table, np.array([r[1] for r in found], dtype=float))
     p = model.posterior(table) if len(found) else []
-    lookup = rows.sparkSession.createDataFrame([(r[0], float(x)) for r, x in zip(found, p, strict=True)], f"__pattern int, {into} double")
+    lookup = rows.sparkSession.createDataFrame(pa.table({"__pattern": pa.array([r[0] for r in found], pa.int32()), into: pa.array(p, pa.float64())}))
     return marked.join(F.broadcast(lookup), "__pattern", "left").drop("__pattern"), model
