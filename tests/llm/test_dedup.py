@@ -172,6 +172,27 @@ def test_passage_of_which_all_parts_are_frequent(spark):
         assert got[i].start_word <= 42 and got[i].end_word >= 98
 
 
+def test_changed_passage_of_which_all_parts_are_frequent(spark):
+    """As above, but a word of the 60 differs, so that the two texts share no 50 words either; links by pairs of seeds remain."""
+    shared = _prose(60, 7)
+    rows = [(i, [*_prose(40, 100 + i), *shared[:30], f"other{i}", *shared[31:], *_prose(40, 200 + i)]) for i in (0, 900)]
+    for i in range(1, 301):
+        n = 20 + i % 10
+        at = i % 2 * 31 + i * 7 % (30 - n)
+        rows.append((i, [*_prose(30, 1000 + i), *shared[at : at + n], *_prose(30, 2000 + i)]))
+    got = {r.doc_id: r for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    for i in (0, 900):
+        assert got[i].start_word <= 44 and got[i].end_word >= 96 and got[i].partner_id == 900 - i
+
+
+def test_partner_is_the_least_id_of_all_holders(spark):
+    """Forty texts hold one passage of 60 words: each of them names the least other id, not that of a neighbour in the list of a seed."""
+    shared = _prose(60, 8)
+    rows = [(i, " ".join([*_prose(40, 3000 + i), *shared, *_prose(40, 4000 + i)])) for i in range(40)]
+    got = {r.doc_id: r.partner_id for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i else 1 for i in range(40)}
+
+
 def test_every_exact_repeat_is_found(spark, sf, texts):
     """Brute force: all windows of 50 words that two texts share lie within the rows of both. By the query itself."""
     words = {i: brute.WORD.findall(r.text or "") for i, r in texts.items()}
