@@ -6,11 +6,13 @@ writes each stage's rows as Parquet in the shared folder and reads them again fo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import bloom, exact, langid, minhash, mixing, packing
-from tessitura.llm.common import store, table
+from tessitura.llm.common import release, store, table
 
 #: A text is rejected whose likeliest language has a lower posterior, or that has no language at all.
 LEAST_SCORE = 0.5
@@ -63,7 +65,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
+def _alone(stage: Callable) -> Callable:
+    """The stage, begun without the tables that earlier ones left and nothing reads any more."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _alone(f)) for name, f in (("language_id", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack))]
 #: Language ID, signatures and packing are not for SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 

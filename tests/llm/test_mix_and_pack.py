@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessitura.llm import mixing, packing
+from tessitura.llm import common, mixing, packing
 
 
 def test_targets():
@@ -193,3 +193,16 @@ def test_mixing_stage_takes_what_the_mix_takes(spark, sf):
         times[r.text] += 1
     assert all(abs(words[s] - want[s]) <= 10 for s in want)
     assert all(n <= (10 if t.startswith("one") else 2) for t, n in times.items())
+
+
+def test_stages_leave_no_tables_behind(spark):
+    """Tables that only an earlier stage read are gone when the next begins; one that a DataFrame still reads stays."""
+    held = common.store(spark.range(5), "held").select((F.col("id") + 1).alias("id"))
+    gone = common.store(spark.range(5), "gone")
+    assert gone.select("id").count() == 5
+    paths = [p for _, p in common._written][-2:]
+    del gone
+    docs = spark.createDataFrame([(1, "a b", "en", "a", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.STAGES[1][1](spark, docs, "").count()
+    there = [fs.exists(p) for fs, p in (common.hadoop_path(spark, path) for path in paths)]
+    assert there == [True, False] and held.agg(F.sum("id")).first()[0] == 15
