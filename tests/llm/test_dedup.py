@@ -1,13 +1,14 @@
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.llm import components, exact, minhash, substring
+from tessitura.llm import common, components, exact, minhash, substring
 
 
 def test_exact_groups(spark, sf, texts):
@@ -227,6 +228,27 @@ def test_recall_of_changed_passages(spark):
     assert len(got) >= 0.8 * 120
 
 
+def test_passages_store_few_pairs_and_keep_no_table_longer_than_needed(spark, monkeypatch):
+    """Phrases of 16 words in 16 places, in another order each time: their seeds are frequent, most pairs of them are met once."""
+    rng = np.random.default_rng(11)
+    phrases = [[f"p{i}x{j}" for j in range(16)] for i in range(500)]
+    rows = [(i, " ".join(w for p in rng.permutation(500)[:20] for w in phrases[p])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real, made, paths = substring.store, [], {}
+
+    def store(df, label, *more):
+        out = real(df, label, *more)
+        made.append((label, out.count()))
+        paths[label] = Path(common._written[-1][1].removeprefix("file:"))
+        return out
+
+    monkeypatch.setattr(substring, "store", store)
+    substring.repeated_passages(docs).count()
+    words = 400 * 20 * 16
+    assert max(n for label, n in made if label in ("seeds", "again", "wide", "pairs")) < words // 4
+    assert paths["rows"].exists() and not paths["seeds"].exists() and not paths["wide"].exists()
+
+
 def test_parts_of_a_chain():
     rng = np.random.default_rng(5)
     for _ in range(50):
