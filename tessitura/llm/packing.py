@@ -98,11 +98,12 @@ class Encoder:
         """Put runs into the cache; those too long for it are returned."""
         long, plain = {}, []
         for r in new:
-            w = r.decode()
             if len(r) > LONGEST_CACHED:
-                long[r] = self.one(w)
-            elif w.isalpha() and (w.isascii() or (w == w.lower() and max(w) < "\u0100")):
-                plain.append(w)
+                long[r] = self.one(r.decode())
+            elif r.isalpha():  # of bytes: letters of ASCII only
+                plain.append(r)
+            elif (w := r.decode()).isalpha() and w == w.lower() and max(w) < "\u0100":
+                plain.append(r)
             else:
                 self.known[r] = self.one(w)
         for a in range(0, len(plain), 2000):
@@ -112,15 +113,15 @@ class Encoder:
     def one(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def many(self, words: list[str]) -> None:
+    def many(self, words: list[bytes]) -> None:
         """Words of letters only, in one go: a word ends where a piece ends a word."""
-        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.bare.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(stop) != len(words):
-            self.known.update((w.encode(), self.one(w)) for w in words)
+            self.known.update((w, self.one(w.decode())) for w in words)
             return
         raw, stop = ids.tobytes(), stop.tolist()
-        self.known.update((w.encode(), raw[x:y]) for w, x, y in zip(words, [0, *stop[:-1]], stop, strict=True))
+        self.known.update(zip(words, [raw[x:y] for x, y in zip([0, *stop[:-1]], stop, strict=True)], strict=True))
 
 
 #: ASCII signs that may follow a letter without changing how the letters are cut; an apostrophe may not.
@@ -150,10 +151,11 @@ def _cut(low: np.ndarray, w: bytescan.Words) -> tuple[np.ndarray, np.ndarray, np
 _encoders: dict[str, Encoder] = {}
 
 
-def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, path: str | None = None, slice_bytes: int = 1 << 18) -> DataFrame:
     """Pieces of each row of docs: doc_id, piece, start, length, ids_crc32, row_no (one number a row of docs and piece).
 
     A row's tokens are the ids of its whole text (null: none) and then end_id, cut into pieces of `capacity` tokens.
+    Texts are encoded by about slice_bytes at once: more of them need more memory and less time, and give the same.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     schema = PIECES.format(id=docs.schema[doc_id].dataType.simpleString())
@@ -163,7 +165,7 @@ def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id
         bytescan.release()
         n = TaskContext.get().partitionId() << 34
         for b in batches:
-            for i, j, data, offsets in bytescan.slices(b.column(1), 1 << 18):
+            for i, j, data, offsets in bytescan.slices(b.column(1), slice_bytes):
                 ids, at = enc.encode(data, offsets)
                 at = at + np.arange(j - i + 1)
                 own = np.full(len(ids) + j - i, end_id, dtype="<u4")
@@ -345,15 +347,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     return whole.unionByName(packed)
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, path: str | None = None, slice_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every row of docs, packed.
 
     Null and empty texts are one token, end_id. Repeated rows are packed each. Null ids stay null. Other columns are ignored.
     """
-    pieces = store(tokenise(docs, doc_id, text, end_id, capacity, path), "pieces")
+    pieces = store(tokenise(docs, doc_id, text, end_id, capacity, path, slice_bytes), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), slice_bytes=1 << 20)

@@ -206,3 +206,14 @@ def test_stages_leave_no_tables_behind(spark):
     corpus_pipeline.STAGES[1][1](spark, docs, "").count()
     there = [fs.exists(p) for fs, p in (common.hadoop_path(spark, path) for path in paths)]
     assert there == [True, False] and held.agg(F.sum("id")).first()[0] == 15
+
+
+def test_pieces_do_not_depend_on_slices(edge, monkeypatch):
+    """Runs of ASCII letters go to the encoder as bytes; slices of any size give the same pieces."""
+    pieces = [sorted(map(str, packing.tokenise(edge.coalesce(1), slice_bytes=n).drop("row_no").collect())) for n in (1, 1 << 18, 1 << 20)]
+    assert pieces[0] == pieces[1] == pieces[2]
+    e = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    seen = []
+    monkeypatch.setattr(e, "many", lambda words: seen.extend(words))
+    e.learn([b"word", "\u00e9t\u00e9".encode(), b"1st"])
+    assert seen == [b"word", "\u00e9t\u00e9".encode()]
