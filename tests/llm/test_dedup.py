@@ -249,6 +249,47 @@ def test_passages_store_few_pairs_and_keep_no_table_longer_than_needed(spark, mo
     assert paths["rows"].exists() and not paths["seeds"].exists() and not paths["wide"].exists()
 
 
+def test_windows_meet_in_few_rows_and_as_by_brute_force(spark, monkeypatch):
+    """Windows of 50 words travel by their least shingle, many in a row; of very frequent ones each by itself, with the same result."""
+    pool = [_prose(90, 9000 + i) for i in range(6)]
+    rng = np.random.default_rng(3)
+    rows = [(1000 - i, [*_prose(30, 9100 + i), *(w for p in rng.permutation(6)[:3] for w in pool[p][: rng.integers(45, 91)])], None if i % 7 == 0 else i // 2) for i in range(24)]
+    rows += [(1, ["la"] * 200, 90), (2, ["la"] * 130, 91), (3, _prose(70, 9200) * 2, 92)]
+    texts = spark.createDataFrame([(n, " ".join(w), low) for n, w, low in rows], "node long, text string, low long")
+    holders = defaultdict(dict)
+    for n, w, low in rows:
+        for p in range(len(w) - 49):
+            holders[tuple(w[p : p + 50])][n] = low
+    want = set()
+    for n, w, _ in rows:
+        spans = []
+        for p in range(len(w) - 49):
+            if others := [v for m, v in holders[tuple(w[p : p + 50])].items() if m != n]:
+                least = min((v for v in others if v is not None), default=None)
+                if spans and p < spans[-1][1]:
+                    spans[-1] = (spans[-1][0], p + 50, [*spans[-1][2], least])
+                else:
+                    spans.append((p, p + 50, [least]))
+        want |= {(n, a, b, min((v for v in of if v is not None), default=None)) for a, b, of in spans}
+    assert len(want) > 20
+    every, none = np.full(1 << 10, 255, np.uint8), np.zeros(1 << 10, np.uint8)
+    wide = substring._wide_seeds(texts, every, none, 1, substring.K, substring.WINDOW, 50).filter("seed is not null").drop("seeds", "places", "sums").cache()
+    assert wide.count() < sum(len(w) - 49 for _, w, _ in rows) // 8
+    real = substring._hot
+    for hot in (real, lambda seeds, total, *_: real(seeds, total, 1, 1)):
+        monkeypatch.setattr(substring, "_hot", hot)
+        assert {(r.node, r.start, r.stop, r.partner_id) for r in substring._same_windows(wide, 50).collect()} == want
+
+
+def test_words_of_ranges_that_very_many_links_ask_for(spark):
+    rows = [(i, " ".join(_prose(400, 9300 + i))) for i in range(3)]
+    need = [(0, i, i % 2, i % 300, i % 300 + 90) for i in range(3000)] + [(1, 5000, 0, 350, 500), (2, 5000, 1, 0, 400)]
+    texts, asked = spark.createDataFrame(rows, "node long, text string"), spark.createDataFrame(need, "node long, link long, side int, start int, stop int")
+    hashes = [(substring.bytescan.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hashes() >> np.uint64(32)).astype(np.uint32) for _, t in rows]
+    got = substring._spans(texts, asked).collect()
+    assert {(r.link, r.side, bytes(r.words)) for r in got} == {(n, s, hashes[i][a:b].tobytes()) for i, n, s, a, b in need} and len(got) == len(need)
+
+
 def test_parts_of_a_chain():
     rng = np.random.default_rng(5)
     for _ in range(50):
