@@ -25,8 +25,8 @@ def soft_confidence(value: Column, threshold: float, spread: float, sign: int) -
 
 
 def logistic(raw: Column) -> Column:
-    """1 / (1 + exp(-raw)) without overflow on either side."""
-    return F.when(raw >= 0, 1 / (1 + F.exp(-raw))).otherwise(F.exp(raw) / (1 + F.exp(raw)))
+    """1 / (1 + exp(-raw)), which is 0.5 for sums that miss 0 by a last place; exp(raw) where exp(-raw) would overflow."""
+    return F.when(raw < -700, F.exp(raw)).otherwise(1 / (1 + F.exp(-raw)))
 
 
 def is_finite(c: Column) -> Column:

@@ -224,6 +224,11 @@ def test_ensembles(spark):
     assert [r[0] for r in p] == pytest.approx([0.5, 0.75, 1.0, 0.0, 0.14509379193850144])
 
 
+def test_logistic_is_a_half_where_a_sum_misses_zero(spark):
+    p = spark.createDataFrame([(-5.6e-17,), (5.6e-17,), (-1.2e-16,), (-705.0,), (-720.0,), (None,)], "r double").select(logistic(F.col("r"))).collect()
+    assert [r[0] for r in p[:3]] == [0.5] * 3 and p[3][0] == pytest.approx(math.exp(-705), rel=1e-12) and p[4][0] == math.exp(-720) and p[5][0] is None
+
+
 # Metrics.
 
 
