@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tessitura.functions.numeric import d
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: in a lambda, an expression of the row is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scaled(x: Column, by) -> Column:
+    """x divided by a number made of its peak; x and the number are computed once."""
+    return let(x, lambda y: let(by(peak(y)), lambda k: F.transform(y, lambda v: v / k)))
+
+
 def total(x: Column, of=lambda v: v) -> Column:
     """Sum in double, in order of the array."""
     return F.aggregate(x, d(0), lambda a, v: a + of(v.cast("double")))
@@ -91,29 +101,34 @@ def peak(x: Column) -> Column:
 def mix_at_snr(speech: Column, noise: Column, snr_db: Column) -> Column:
     """Noise scaled to the ratio of energies and added; divided by the peak where it exceeds 1."""
     gain = rms(speech) / F.pow(d(10), snr_db / d(20)) / (rms(noise) + d(1e-9))
-    both = F.zip_with(speech, noise, lambda a, b: a.cast("double") + b.cast("double") * gain)
-    return F.transform(both, lambda v: v / F.greatest(d(1), peak(both)))
+    both = let(gain, lambda g: F.zip_with(speech, noise, lambda a, b: a.cast("double") + b.cast("double") * g))
+    return scaled(both, lambda p: F.greatest(d(1), p))
 
 
 def mix_with_headroom(speech: Column, noise: Column, snr_db: Column) -> Column:
     """As mix_at_snr, but silent speech stays, and peaks above 0.98 are scaled to 0.95."""
     gain = rms(speech) / F.pow(d(10), snr_db / d(20)) / F.greatest(rms(noise), d(1e-9))
-    both = F.zip_with(speech, noise, lambda a, b: a.cast("double") + b.cast("double") * gain)
-    scale = F.when(peak(both) > 0.98, d(0.95) / peak(both)).otherwise(d(1))
-    return F.when(rms(speech) < 1e-9, F.transform(speech, lambda v: v.cast("double"))).otherwise(F.transform(both, lambda v: v * scale))
+    both = let(gain, lambda g: F.zip_with(speech, noise, lambda a, b: a.cast("double") + b.cast("double") * g))
+    scale = lambda p: F.when(p > 0.98, d(0.95) / p).otherwise(d(1))
+    held = let(both, lambda y: let(scale(peak(y)), lambda k: F.transform(y, lambda v: v * k)))
+    return F.when(rms(speech) < 1e-9, F.transform(speech, lambda v: v.cast("double"))).otherwise(held)
 
 
 def convolve(x: Column, h: Column) -> Column:
     """The first size(x) values of the full convolution, divided by the peak if that is above 1e-6."""
+    return let(x, lambda a: let(h, lambda b: _convolve(a, b)))
+
+
+def _convolve(x: Column, h: Column) -> Column:
     one = lambda i: F.aggregate(F.sequence(F.lit(0), F.least(i, F.size(h) - 1)), d(0), lambda a, k: a + F.get(x, i - k).cast("double") * F.get(h, k).cast("double"))
     y = F.transform(F.sequence(F.lit(0), F.size(x) - 1), one)
-    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(F.transform(y, lambda v: v / F.when(peak(y) > 1e-6, peak(y)).otherwise(d(1))))
+    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(scaled(y, lambda p: F.when(p > 1e-6, p).otherwise(d(1))))
 
 
 def clip(x: Column, level: float, normalise: bool = True) -> Column:
     """Samples held within +-level; then divided by the peak."""
     held = F.transform(x, lambda v: F.greatest(d(-level), F.least(d(level), v.cast("double"))))
-    return F.transform(held, lambda v: v / F.when(peak(held) > 0, peak(held)).otherwise(d(1))) if normalise else held
+    return scaled(held, lambda p: F.when(p > 0, p).otherwise(d(1))) if normalise else held
 
 
 def drive(x: Column, level: float) -> Column:

@@ -49,6 +49,13 @@ def test_convolution_equals_numpy(spark):
     assert np.allclose(got, want / np.abs(want).max())
 
 
+def test_convolution_is_computed_once(spark):
+    """It stood inside the division of each value by the peak, so work grew with the cube of the length."""
+    df = spark.createDataFrame([([1.0, -2.0, 0.5],), ([],), ([0.0, 0.0],), (None,)], "x array<double>").select(arrays.convolve(F.col("x"), F.slice("x", 1, 2)).alias("y"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r.y for r in df.collect()] == [pytest.approx([1 / 4.5, -4 / 4.5, 1.0]), [], [0.0, 0.0], None]
+
+
 def _sine(f, seconds, a=0.3, rate=16000):
     return a * np.sin(2 * np.pi * f * np.arange(int(seconds * rate)) / rate)
 
