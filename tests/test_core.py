@@ -56,6 +56,19 @@ def test_convolution_is_computed_once(spark):
     assert [r.y for r in df.collect()] == [pytest.approx([1 / 4.5, -4 / 4.5, 1.0]), [], [0.0, 0.0], None]
 
 
+def test_mixes_and_clips_are_computed_once(spark):
+    s, n = F.col("s"), F.col("n")
+    df = spark.createDataFrame([([3.0, -0.5], [1.0, 1.0])], "s array<double>, n array<double>")
+    out = {"zip_with(": [arrays.mix_at_snr(s, n, F.lit(0.0)), arrays.mix_with_headroom(s, n, F.lit(0.0))], "greatest(-": [arrays.clip(s, 0.1)]}
+    for part, columns in out.items():
+        for c in columns:
+            assert df.select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString().count(part) == 1
+    gain = math.sqrt(9.25 / 2)
+    both = [3 + gain, gain - 0.5]
+    got = df.select(*out["zip_with("], *out["greatest(-"]).first()
+    assert got[0] == pytest.approx([1.0, both[1] / both[0]]) and got[1] == pytest.approx([0.95, 0.95 * both[1] / both[0]]) and got[2] == [1.0, -1.0]
+
+
 def _sine(f, seconds, a=0.3, rate=16000):
     return a * np.sin(2 * np.pi * f * np.arange(int(seconds * rate)) / rate)
 
