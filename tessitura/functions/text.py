@@ -44,42 +44,84 @@ def word_errors_sql(ref: Column, hyp: Column) -> Column:
     return F.element_at(F.aggregate(ref, first, row), -1)
 
 
+#: Cells of the rows of distance tables that are computed at once.
+CELLS = 1 << 14
+
+
+def _counts(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """(matches, substitutions, deletions, insertions) of pairs of equal offsets: numbers of words a[a_at[k]:a_at[k + 1]] against b's.
+
+    The way back prefers match, substitution, deletion, insertion. A cell's way is that of the cell it comes from and one step, so
+    two rows hold it, with errors and matches; the other kinds follow from the lengths. Pairs alike in length go together.
+    """
+    n, m = np.diff(a_at), np.diff(b_at)
+    out = np.zeros((len(n), 4), dtype=np.int64)
+    order = np.lexsort((m, n // 32))
+    first = 0
+    while first < len(order):
+        group = order[first : first + max(1, CELLS // (int(m[order[first]]) + 1))]
+        widths = np.maximum.accumulate(m[group]) + 1
+        group = group[: max(1, int(np.count_nonzero(widths * np.arange(1, len(group) + 1) <= CELLS)))]
+        first += len(group)
+        rows, columns = int(n[group].max()), int(m[group].max())
+        x, y = np.full((len(group), rows), -1, dtype=np.int32), np.full((len(group), columns), -2, dtype=np.int32)
+        for k, g in enumerate(group):
+            x[k, : n[g]], y[k, : m[g]] = a[a_at[g] : a_at[g + 1]], b[b_at[g] : b_at[g + 1]]
+        step = np.arange(columns + 1, dtype=np.int32)
+        errors, same = np.tile(step, (len(group), 1)), np.zeros((len(group), columns + 1), dtype=np.int32)
+        best, base, source = np.empty_like(errors), np.empty_like(same), np.zeros((len(group), columns + 1), dtype=np.int32)
+        at = np.arange(len(group))[:, None]
+        for i in range(rows + 1):
+            if i:
+                equal = y == x[:, i - 1 : i]
+                across, down = errors[:, :-1] + ~equal, errors[:, 1:] + 1
+                best[:, 0] = i
+                np.minimum(across, down, out=best[:, 1:])
+                errors = np.minimum.accumulate(best - step, axis=1) + step
+                diagonal, above = errors[:, 1:] == across, errors[:, 1:] == down
+                base[:, 0] = 0
+                base[:, 1:] = np.where(diagonal, same[:, :-1] + equal, same[:, 1:])
+                source[:, 1:] = np.where(diagonal | above, step[1:], 0)
+                same = base[at, np.maximum.accumulate(source, axis=1)]
+            for k in np.flatnonzero(n[group] == i):
+                g = group[k]
+                e, s = int(errors[k, m[g]]), int(same[k, m[g]])
+                inserted = e - (int(n[g]) - s)
+                replaced = int(m[g]) - s - inserted
+                out[g] = s, replaced, int(n[g]) - s - replaced, inserted
+    return out
+
+
 def align_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     """(matches, substitutions, deletions, insertions), the way back preferring match, substitution, deletion, insertion."""
     ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in ref], dtype=np.int64)
-    b = np.array([ids.setdefault(w, len(ids)) for w in hyp], dtype=np.int64)
-    n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    table[0] = np.arange(m + 1)
-    step = np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.empty(m + 1, dtype=np.int32)
-        best[0] = i
-        best[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (b != a[i - 1]))
-        table[i] = np.minimum.accumulate(best - step) + step
-    i, j, out = n, m, [0, 0, 0, 0]
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1] and table[i, j] == table[i - 1, j - 1]:
-            kind, i, j = 0, i - 1, j - 1
-        elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
-            kind, i, j = 1, i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            kind, i = 2, i - 1
-        else:
-            kind, j = 3, j - 1
-        out[kind] += 1
-    return tuple(out)
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int32) for words in (ref, hyp))
+    return tuple(_counts(a, np.array([0, len(a)]), b, np.array([0, len(b)]))[0].tolist())
 
 
 _COUNTS = ("matches", "substitutions", "deletions", "insertions")
+#: Words, of ref and hyp together, that are numbered at once.
+WORDS = 1 << 18
+
+
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list column and its offsets in them; a null has none."""
+    return column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _COUNTS]))
 def alignment(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    """align_counts of word arrays, a batch at a time."""
-    rows = [align_counts(r or [], h or []) for r, h in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)]
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(4)], list(_COUNTS))
+    """align_counts of word arrays, a slice of rows at a time; words are numbered by Arrow and never become Python's."""
+    (a, a_at), (b, b_at) = _flat(ref), _flat(hyp)
+    total, out, start = a_at + b_at, [np.zeros((0, 4), dtype=np.int64)], 0
+    while start < len(ref):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + WORDS, side="right")) - 1)
+        x, y = a.slice(a_at[start], a_at[stop] - a_at[start]), b.slice(b_at[start], b_at[stop] - b_at[start])
+        ids = pa.concat_arrays([x, y]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        out.append(_counts(ids[: len(x)], a_at[start : stop + 1] - a_at[start], ids[len(x) :], b_at[start : stop + 1] - b_at[start]))
+        start = stop
+    counts = np.concatenate(out)
+    return pa.StructArray.from_arrays([pa.array(counts[:, i].astype(np.int32)) for i in range(4)], list(_COUNTS))
 
 
 def clean_path(path: Column) -> Column:

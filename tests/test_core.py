@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,43 @@ def test_word_errors(spark):
     assert norm == "héllo world it's _ok_"
 
 
+def _peak(f):
+    """What f returns, and the MB that Python and numpy held at most for it."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _aligned(ref, hyp):
+    """(matches, substitutions, deletions, insertions) by a whole table and the way back through it."""
+    t = [[max(i, j) if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]))
+    i, j, out = len(ref), len(hyp), [0, 0, 0, 0]
+    while i or j:
+        steps = [i and j and ref[i - 1] == hyp[j - 1] and t[i][j] == t[i - 1][j - 1], i and j and t[i][j] == t[i - 1][j - 1] + 1, i and t[i][j] == t[i - 1][j] + 1]
+        kind = next((k for k, s in enumerate(steps) if s), 3)
+        i, j = i - (kind < 3), j - (kind != 2)
+        out[kind] += 1
+    return tuple(out)
+
+
+def test_alignment_of_a_batch_is_bounded():
+    rng = np.random.default_rng(4)
+    draw = lambda most, kinds: None if rng.random() < 0.02 else [None if w == 0 else f"w{w}" for w in rng.integers(0, kinds, rng.integers(0, most))]
+    pairs = [(draw(most, kinds), draw(most, kinds)) for most, kinds in ((3, 2), (12, 3), (70, 5), (40, 200)) for _ in range(60)]
+    arrow = [pa.array(column, pa.list_(pa.string())) for column in zip(*pairs, strict=True)]
+    got = [tuple(r.values()) for r in text.alignment.func(*arrow).to_pylist()]
+    assert got == [_aligned(r or [], h or []) for r, h in pairs]
+    assert [tuple(r.values()) for r in text.alignment.func(*(c[50:90] for c in arrow)).to_pylist()] == got[50:90]
+    words = pa.ListArray.from_arrays(pa.array(range(0, 300_001, 100), pa.int32()), pa.array([f"w{i % 977}" for i in range(300_000)]))
+    out, mb = _peak(lambda: text.alignment.func(words, words))
+    assert out.field(0).to_pylist() == [100] * 3000 and mb < 10
+
+
 def test_paths_and_lines(spark):
     paths = ["/a/./b//c", "/a/../../b", "a/../../b", "./data/raw/x/../y", "/mnt/disk/sub/z", "/else/z"]
     df = spark.createDataFrame([(p,) for p in paths], ["p"])
