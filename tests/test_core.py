@@ -327,6 +327,12 @@ def test_alignment_of_a_batch_is_bounded():
     assert out.field(0).to_pylist() == [100] * 3000 and mb < 10
 
 
+def test_alignment_of_long_texts_is_bounded():
+    ref = [f"w{i}" for i in range(3000)]
+    got, mb = _peak(lambda: text.align_counts(ref, ref[:1000] + ["x"] * 5 + ref[1010:] + ["y"] * 7))
+    assert got == (2990, 5, 5, 7) and mb < 10
+
+
 def test_paths_and_lines(spark):
     paths = ["/a/./b//c", "/a/../../b", "a/../../b", "./data/raw/x/../y", "/mnt/disk/sub/z", "/else/z"]
     df = spark.createDataFrame([(p,) for p in paths], ["p"])
